@@ -60,3 +60,38 @@ def table_batches(batches, max_bytes: int = 8 << 20):
         step = max(1, min(rows, int(rows * max_bytes / max(1, batch.nbytes))))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+
+
+def row_mark(docs: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A hash of a row's columns, to tell rows with the same key apart. Maps and variants can't be hashed, so they don't count."""
+    plain = [F.col(f"`{n}`") for n, kind in docs.dtypes if n not in without and "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
+#: Rows to drop (key and mark) under this size together are broadcast; more are shuffled.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
+
+
+def sized_broadcast(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are few enough. ``df`` should be a written table."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def keep_rows(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they were.
+
+    ``rows`` has x_key, x_mark (of row_mark), x_copies (rows equal throughout) and x_stays; of equal rows that stay one is kept.
+    """
+    names = docs.columns
+    notes = materialise(rows.where(~F.col("x_stays") | (F.col("x_copies") > 1)).select("x_key", "x_mark", "x_stays"), "notes")
+    marked = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.col(f"`{key}`").alias("x_key"), row_mark(docs).alias("x_mark"))
+    on = F.col("m.x_key").eqNullSafe(F.col("d.x_key")) & (F.col("m.x_mark") == F.col("d.x_mark"))
+    drop = sized_broadcast(notes.where(~F.col("x_stays")))
+    kept = marked.alias("m").join(drop.alias("d"), on, "left_anti")
+    repeated = notes.where("x_stays")
+    if repeated.limit(1).count():
+        side = sized_broadcast(repeated)
+        once = kept.alias("m").join(side.alias("d"), on, "left_semi").dropDuplicates(["x_key", "x_mark"])
+        kept = kept.alias("m").join(side.alias("d"), on, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

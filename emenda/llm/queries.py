@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emenda.llm import exact_dedup, mixing, packing
+from emenda.llm import exact_dedup, langid, mixing, ngram_join, packing
 from emenda.llm.common import read_table
 
 EXACT_SQL = """
@@ -14,6 +14,14 @@ FROM documents
 """
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_report(read_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op5_mix_sources)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_best_fit_packing, op4_exact_dedup, op5_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
