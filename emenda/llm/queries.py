@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emenda.llm import chat, exact_dedup, langid, media, mixing, ngram_join, packing
+from emenda.llm import chat, exact_dedup, langid, media, mixing, ngram_join, packing, pii, quality
 from emenda.llm.common import read_table
 
 EXACT_SQL = """
@@ -34,16 +34,24 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(read_table(spark, sf_dir, "conversations"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_best_fit_packing, op4_exact_dedup, op5_mix_sources, op8_chat_format, op10_media_columns)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_best_fit_packing, op4_exact_dedup, op5_mix_sources, op6_quality, op8_chat_format, op9_pii, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
