@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emenda.llm import chat, exact_dedup, langid, media, mixing, ngram_join, packing, pii, quality
+from emenda.llm import chat, exact_dedup, langid, media, mixing, ngram_join, packing, pii, quality, suffix_dedup
 from emenda.llm.common import read_table
 
 EXACT_SQL = """
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(read_table(spark, sf_dir, "conversations"))
 
@@ -51,7 +55,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_best_fit_packing, op4_exact_dedup, op5_mix_sources, op6_quality, op8_chat_format, op9_pii, op10_media_columns)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_best_fit_packing, op4_exact_dedup, op5_mix_sources, op6_quality, op7_suffix_array_dedup, op8_chat_format, op9_pii, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
