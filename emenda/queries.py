@@ -66,3 +66,36 @@ def candidate_edits(spark, sf):
 def rule_hits(spark, sf):
     rows = D.edit_arrays(read(spark, sf, "documents")).select("doc_id", F.inline("edits"))
     return rows.groupBy("rule_id", "category").agg(F.count(F.lit(1)).alias("edits"), F.countDistinct("doc_id").alias("docs"))
+
+
+from emenda.operators.relational import SQL as RELATIONAL  # noqa: E402
+from emenda.plans import sql as S  # noqa: E402
+
+_BENCH = __import__("re").sub(r"\b(base|t[0-5]|tokens)\b", r"b_\1", T.tokens_sql("benchmark", "item_id"))
+
+
+def _frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if name == "tokens":
+        return T.token_rows(read(spark, sf, "documents"), extra=("lang",))
+    if name == "bench":
+        return T.token_rows(read(spark, sf, "benchmark"), "item_id")
+    if name == "edits":
+        return D.edits(read(spark, sf, "documents"))
+    return read(spark, sf, name)
+
+
+def _relational(name: str, frames: tuple[str, ...], sql: str) -> None:
+    def run(spark, sf):
+        return S.run(spark, sql, **{f: _frame(spark, sf, f) for f in frames})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    heads = [TOKENS] * ("tokens" in frames or "edits" in frames) + [_BENCH] * ("bench" in frames) + [D.edits_sql()] * ("edits" in frames)
+    body = S.for_duckdb(sql, bench="b_tokens")
+    if heads:
+        body = "WITH " + ", ".join(heads) + (", " + body[5:] if body.startswith("WITH ") else " " + body)
+    SQL[name] = body
+
+
+for _name, (_frames, _sql) in RELATIONAL.items():
+    _relational(_name, _frames, _sql)
