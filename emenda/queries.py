@@ -99,3 +99,86 @@ def _relational(name: str, frames: tuple[str, ...], sql: str) -> None:
 
 for _name, (_frames, _sql) in RELATIONAL.items():
     _relational(_name, _frames, _sql)
+
+
+from emenda.operators import resolve as R  # noqa: E402
+from emenda.operators import tone as O  # noqa: E402
+from emenda.plans import pipeline as P  # noqa: E402
+from emenda.streaming import reports as E  # noqa: E402
+
+_SPANS = R.spans_sql()
+_ACCEPTED = f"{EDITS}, {_SPANS}, {R.accepted_sql()}"
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, s, e, kind FROM spans")
+def protected_spans(spark, sf):
+    docs = read(spark, sf, "documents")
+    return docs.select("doc_id", F.inline(R.protected(F.coalesce("text", F.lit("")))))
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, s, e, kind FROM merged")
+def merged_spans(spark, sf):
+    docs = read(spark, sf, "documents")
+    return docs.select("doc_id", F.inline(R.merged(R.protected(F.coalesce("text", F.lit(""))))))
+
+
+@query(f"WITH RECURSIVE {_ACCEPTED} SELECT doc_id, s, e, replacement, category, rule_id, confidence FROM accepted")
+def accepted_edits(spark, sf):
+    return R.corrected(read(spark, sf, "documents")).select("doc_id", F.inline("edits"))
+
+
+@query(
+    f"WITH RECURSIVE {_ACCEPTED}, piece AS (SELECT a.doc_id, a.s, substr(d.text, coalesce(lag(a.e) OVER w, 0) + 1, a.s - coalesce(lag(a.e) OVER w, 0)) || a.replacement AS p, a.e FROM accepted a JOIN documents d ON a.doc_id = d.doc_id WINDOW w AS (PARTITION BY a.doc_id ORDER BY a.s)),"
+    " whole AS (SELECT doc_id, string_agg(p, '' ORDER BY s) AS head, max(e) AS e, count(*) AS n FROM piece GROUP BY doc_id)"
+    " SELECT d.doc_id, coalesce(n, 0)::BIGINT AS edits, md5(coalesce(head, '') || substr(coalesce(text, ''), coalesce(e, 0) + 1)) AS output FROM documents d LEFT JOIN whole w ON d.doc_id = w.doc_id"
+)
+def corrected_text(spark, sf):
+    return R.corrected(read(spark, sf, "documents")).select("doc_id", F.size("edits").cast("long").alias("edits"), F.md5(F.col("output").cast("binary")).alias("output"))
+
+
+@query(
+    f"WITH RECURSIVE {_ACCEPTED}, z AS (SELECT a.doc_id, a.s, a.e, length(a.replacement) AS n, coalesce(sum(length(a.replacement) - (a.e - a.s)) OVER (PARTITION BY a.doc_id ORDER BY a.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS moved FROM accepted a)"
+    " SELECT doc_id, s AS a, e AS b, s + moved AS c, s + moved + n AS d FROM z"
+)
+def source_maps(spark, sf):
+    rows = R.corrected(read(spark, sf, "documents")).select("doc_id", F.inline(R.source_map(F.col("text"), F.col("edits"))))
+    return rows.where("changed").select("doc_id", "a", "b", "c", "d")
+
+
+@query()
+def fixed_points(spark, sf):
+    """How many passes each document needs until nothing changes."""
+    return P.fixed_point(read(spark, sf, "documents")).select("doc_id", "passes", "edits", "settled", F.md5(F.col("output").cast("binary")).alias("output"))
+
+
+@query()
+def tone_rewrites(spark, sf):
+    """Each turn in a mode's words, or why the meaning would have changed."""
+    turns = read(spark, sf, "conversations")
+    mode = F.element_at(F.array(*[F.lit(m) for m in P.MODES]), (F.col("turn") % len(P.MODES) + 1).cast("int"))
+    rows = turns.withColumn("mode", mode).withColumn("worded", O.worded(F.coalesce("text", F.lit("")), F.col("mode")))
+    return rows.select("conv_id", "turn", "mode", (F.col("worded") != F.col("text")).alias("changed"), O.meaning_lost(F.col("text"), F.col("worded"), F.col("mode")).alias("lost"))
+
+
+def _streamed(spark, sf, shape, mode: str) -> DataFrame:
+    """All of a stream's rows so far, from a run to the end of what is there."""
+    import uuid
+
+    events = read(spark, sf, "events")
+    folder = f"{sf}/events.parquet"
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet")
+    frame = shape(stream.parquet(folder if "check_" in sf else f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    name = f"stream_{uuid.uuid4().hex[:12]}"
+    run = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedupe(spark, sf):
+    return _streamed(spark, sf, lambda s: E.once(s).select("event_id", "user_id", "event_type"), "append")
+
+
+@query("SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS STRING) AS monday, event_type AS rule, count(*) AS reported FROM events GROUP BY 1, 2")
+def stream_weeks(spark, sf):
+    return _streamed(spark, sf, lambda s: E.weekly(s).select(F.to_date("window.start").cast("string").alias("monday"), "rule", "reported"), "complete")
