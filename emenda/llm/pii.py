@@ -139,10 +139,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("x_spans", lambda x: x["k"] == kind)).cast("long")
+
+
 def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term for each row of documents."""
     rows, _ = find(docs)
-    number = [F.size(F.filter("x_spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:4])]
+    number = [_count(k).alias(f"n_{n}") for k, n in enumerate(KINDS[:4])]
     bare = F.transform("x_spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     term = F.transform("x_terms", lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e")))
     return rows.select(F.col("x_key").alias("doc_id"), *number, F.sha2(_listed(bare).cast("binary"), 256).alias("base_sha256"), _listed(F.array_sort(F.concat(bare, term))).alias("spans"), F.size("x_terms").cast("long").alias("n_term"))
