@@ -9,6 +9,7 @@ finds its place by its length and its rank among pieces of that length.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -27,43 +28,58 @@ VOCABULARY = "word_bpe_49k.json"
 #: Ranks within a length are counted in so many parts, so that no task gets all pieces of a common length.
 PARTS = 256
 #: Words kept with their ids by each worker; beyond it the cache starts afresh.
-CACHED = 400_000
+CACHED = 1_000_000
+_LONG = 64
 
 
 class WordIds:
     """Token ids of whole texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its parts between spaces and line feeds,
-    and parts that come again are looked up.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its parts between spaces and line feeds.
+    It also parts letters and digits from the marks after them and ignores case, so a part is looked up without its last mark and in lower case. What
+    a batch of texts has and the cache has not is encoded in one call.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {"": b""}
-
-    def _encode(self, part: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        cache = self.cache
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([cache[p] for p in parts])
-        except KeyError:
-            pass
-        if len(cache) > CACHED:
-            cache.clear()
-            cache[""] = b""
-        out = []
-        for p in parts:
-            ids = cache.get(p)
-            if ids is None:
-                ids = self._encode(p)
-                if len(p) <= 64:
-                    cache[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {"": b""}, {"": b""}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        """The one that this process has already, with what it has learnt from earlier tasks."""
+        if path not in _LOADED:
+            _LOADED[path] = cls(path)
+        return _LOADED[path]
+
+    @staticmethod
+    def _word(part: str) -> tuple[str, str]:
+        if not part.isascii() or "|" in part:  # special tokens have a bar, and their case counts
+            return part, ""
+        part = part.lower()
+        return (part[:-1], part[-1]) if len(part) > 1 and part[-1] in ".,!?;:" and part[-2].isalnum() else (part, "")
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > CACHED:
+            self.words, self.parts = {"": b""}, {"": b""}
+        words, parts = self.words, self.parts
+        rows = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {p: self._word(p) for p in {p for row in rows for p in row if p not in parts}}
+        unseen = [w for w in {w for pair in new.values() for w in pair} if w not in words]
+        for w, found in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
+            words[w] = np.array(found.ids, "<u4").tobytes()
+        for p, (w, mark) in new.items():
+            parts[p] = words[w] + words[mark] if mark else words[w]
+        out = [b"".join([parts[p] for p in row]) for row in rows]
+        for p, (w, _) in new.items():  # long ones hardly come again
+            if len(p) > _LONG:
+                del parts[p]
+                words.pop(w, None)
+        return out
+
+
+_LOADED: dict[str, WordIds] = {}
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
@@ -71,11 +87,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     path, end = path or public_tokenizers.path(VOCABULARY), np.array([END], "<u4").tobytes()
 
     def cut(batches):
-        encode = WordIds(path)
-        for batch in table_batches(batches):
+        encode = WordIds.of(path)
+        for batch in table_batches(batches, 4 << 20):
             out = [[], [], [], [], []]
-            for name, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(words or "") + end
+            for name, own in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = own + end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     for column, v in zip(out, (name, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
