@@ -38,6 +38,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Arrow batches that go to Python hold so much at most, or a single row: whole texts of any length pass in bounded memory.
+BATCH_BYTES = 4 << 20
+
+
+def to_python(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to small Arrow batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    return df
+
+
 def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each starts (one entry more than texts). Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -51,7 +62,7 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def table_batches(batches, max_bytes: int = 8 << 20):
+def table_batches(batches, max_bytes: int = BATCH_BYTES):
     """Cut Arrow batches so that each holds about ``max_bytes`` of data at most, or a single row."""
     for batch in batches:
         rows = batch.num_rows
@@ -95,3 +106,9 @@ def keep_rows(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
         once = kept.alias("m").join(side.alias("d"), on, "left_semi").dropDuplicates(["x_key", "x_mark"])
         kept = kept.alias("m").join(side.alias("d"), on, "left_anti").unionByName(once)
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def hashed_sample(rows: DataFrame, order: str, most: int, count: int) -> DataFrame:
+    """About ``most`` to twice as many of ``count`` rows, those with the smallest hashes in column ``order``: what each task sends on shrinks as tasks grow in number."""
+    share = min(1.0, 2 * most / max(count, 1))
+    return rows.where(F.shiftrightunsigned(F.col(order), 33) < int(share * (1 << 31)) + 1)

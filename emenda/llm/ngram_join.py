@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emenda.llm.common import keep_rows, materialise, row_mark, sized_broadcast, table_batches, utf8_parts
+from emenda.llm.common import keep_rows, materialise, row_mark, sized_broadcast, table_batches, to_python, utf8_parts
 
 THRESHOLD = 0.8
 SHINGLE = 5
 TOKENS = 48
 #: Buckets up to this size are compared by brute force.
-LIMIT = 1024
+LIMIT = 4096
 #: Sets compared at once by the product of incidence matrices.
-BLOCK = 256
-DEPTH = 12
+BLOCK = 1024
+DEPTH = 4
 RECALL = 0.999
 FIRST_RUNS = 4
 #: Signatures that agree in fewer tokens than this share aren't of sets at the threshold: four standard deviations below it.
@@ -126,7 +126,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid, pa.binary()), pa.array(sig, pa.binary())], ["x_key", "x_mark", "x_sid", "x_sig"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(F.col(key).alias("x_key"), row_mark(docs).alias("x_mark"), F.col(text)).mapInArrow(run, f"x_key {kind}, x_mark long, x_sid binary, x_sig binary")
+    return to_python(docs).select(F.col(key).alias("x_key"), row_mark(docs).alias("x_mark"), F.col(text)).mapInArrow(run, f"x_key {kind}, x_mark long, x_sid binary, x_sig binary")
 
 
 def _sig_matrix(column: pa.Array) -> np.ndarray:
@@ -383,8 +383,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # rows equal throughout share a mark: one of them is enough here
     placed = placed.join(sets.dropDuplicates(["x_sid"]), "x_sid")
     linked = materialise(exact_links(placed), "linked")
-    counts = linked.groupBy("x_sid").agg(F.sum("x_links").alias("x_links"))
-    roots = connected(linked.select(F.col("x_to").alias("x_a"), F.col("x_sid").alias("x_b")))
+    counts = linked.groupBy("x_sid").agg(F.sum("x_links").alias("x_links"), F.count(F.lit(1)).alias("x_n"), F.min("x_to").alias("x_to"))
+    counts = materialise(counts, "counts")
+    # a family in one block has its classes already; trees of several blocks are joined
+    several = linked.join(counts.where("x_n > 1").select("x_sid"), "x_sid", "left_semi").select(F.col("x_to").alias("x_a"), F.col("x_sid").alias("x_b"))
+    roots = counts.where("x_n = 1").select("x_sid", F.col("x_to").alias("x_root"))
+    if counts.where("x_n > 1").limit(1).count():
+        roots = roots.unionByName(connected(several))
+    counts = counts.select("x_sid", "x_links")
 
     per = classes.select("x_sid", "x_weight", "x_first").join(counts, "x_sid", "left").join(roots, "x_sid", "left")
     per = per.select("x_sid", "x_weight", "x_first", (F.coalesce("x_links", F.lit(0)) + F.col("x_weight") - 1).alias("x_links"), F.coalesce("x_root", "x_sid").alias("x_root"))
