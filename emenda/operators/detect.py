@@ -63,7 +63,7 @@ STARTS = "sent <> psent"
 ENUMERATOR = r"(gapn = '' AND next = ')' AND (length(tok) = 1 OR rx(tok, '^[ivxlc]{1,4}\z')))"
 PROPER_CASE = _map(PROPER)
 _DOUBLE = (
-    f"isw AND norm = prev_n AND {INSIDE} AND para = ppara AND {BLANK} AND norm NOT IN ({T.quoted(MEANT_TWICE)}) AND NOT (length(tok) = 1 AND tok <> prev)"
+    f"norm = prev_n AND {INSIDE} AND isw AND para = ppara AND {BLANK} AND norm NOT IN ({T.quoted(MEANT_TWICE)}) AND NOT (length(tok) = 1 AND tok <> prev)"
     " AND NOT (norm = 'is' AND prev2_n IN ('it', 'that', 'this') AND prev3_n IN ('what', 'all', 'way', 'how', 'who', 'where', 'whatever'))"
     f" AND (norm <> 'that' OR next IN ('', '.', '!', '?') OR next_n IN ({T.quoted(AFTER_THAT)}))"
     r" AND NOT (rx(tok, '^\p{Lu}') AND rx(prev, '^\p{Lu}') AND i >= 2)"
@@ -81,9 +81,9 @@ DETECTORS = (
     Detector("grammar.repeated_word", "Repetition", 0.99, "Remove an accidental repeated word.", f"{_DOUBLE} AND NOT {_RAISED}", "s0 - length(gap)", "e0", "''"),
     Detector("grammar.repeated_word", "Repetition", 0.99, "Remove an accidental repeated word.", f"{_DOUBLE} AND {_RAISED} AND norm IN ({T.quoted(FUNCTION_WORDS)}) AND NOT {_ACRONYM}", "s0 - length(gap) - length(prev)", "s0", "''"),
     Detector("punctuation.before_mark", "Punctuation", 0.98, "Remove whitespace before punctuation.", rf"tok IN (',', ';', ':', '!', '?') AND {BLANK} AND rx(prev, '[A-Za-z]\z')", "s0 - length(gap)", "s0", "''"),
-    Detector("punctuation.after_mark", "Punctuation", 0.98, "Separate words with a space after punctuation.", r"rx(tok, '^[A-Za-z]') AND gap = '' AND prev IN (',', ';', ':') AND rx(prev2_n, '[a-z]{2,}\z')", "s0", "s0", "' '"),
+    Detector("punctuation.after_mark", "Punctuation", 0.98, "Separate words with a space after punctuation.", r"gap = '' AND prev IN (',', ';', ':') AND rx(tok, '^[A-Za-z]') AND rx(prev2_n, '[a-z]{2,}\z')", "s0", "s0", "' '"),
     Detector("punctuation.doubled_mark", "Punctuation", 0.97, "Remove the doubled mark.", "tok IN (',', ';', ':') AND prev = tok AND gap = ''", "s0", "e0", "''"),
-    Detector("punctuation.glued_sentence", "Punctuation", 0.95, "Separate sentences with a space.", r"rx(tok, '^\p{Lu}\p{Ll}') AND gap = '' AND prev IN ('.', '!', '?') AND rx(prev2_n, '^\p{L}{2,}\z') AND sent <> psent", "s0", "s0", "' '"),
+    Detector("punctuation.glued_sentence", "Punctuation", 0.95, "Separate sentences with a space.", r"gap = '' AND prev IN ('.', '!', '?') AND rx(tok, '^\p{Lu}\p{Ll}') AND rx(prev2_n, '^\p{L}{2,}\z') AND sent <> psent", "s0", "s0", "' '"),
     Detector("punctuation.introductory_comma", "Punctuation", 0.9, "Set off an introductory adverb with a comma.", rf"{STARTS} AND norm IN ('however', 'therefore', 'moreover', 'meanwhile', 'furthermore', 'consequently') AND {BLANK_AFTER} AND rx(next, '^\p{{L}}')", "e0", "e0", "','"),
     Detector("grammar.article_sound", "Grammar", 0.96, "The article follows the sound of the next word.", rf"norm = 'a' AND {BLANK_AFTER} AND rx(next_n, '^[aeio]\p{{L}}+\z') AND NOT rx(next_n, '^(one|once|eu|ewe)') AND NOT ({ENUMERATOR})", "s0", "e0", _one_case("'an'")),
     Detector("grammar.article_sound", "Grammar", 0.96, "The article follows the sound of the next word.", rf"norm = 'an' AND {BLANK_AFTER} AND rx(next_n, '^[bcdfgjklmnpqrstvwyz]\p{{L}}+\z')", "s0", "e0", _one_case("'a'")),
@@ -99,7 +99,7 @@ DETECTORS = (
     Detector("spelling.common_misspelling", "Spelling", 0.97, "Correct a common misspelling.", f"norm IN ({T.quoted(MISSPELLINGS)})", "s0", "e0", _one_case(f"({_map(MISSPELLINGS)})")),
     Detector("spelling.split_compound", "Spelling", 0.96, "Write as two words.", "norm IN ('alot', 'aswell', 'infact', 'incase', 'eachother')", "s0", "e0", _one_case("(CASE norm WHEN 'alot' THEN 'a lot' WHEN 'aswell' THEN 'as well' WHEN 'infact' THEN 'in fact' WHEN 'incase' THEN 'in case' ELSE 'each other' END)")),
     Detector("spelling.join_compound", "Spelling", 0.94, "Write as one word.", f"norm IN ('self', 'selves') AND prev_n IN ('my', 'your', 'him', 'her', 'it', 'our', 'them') AND {INSIDE} AND gap = ' '", "s0 - length(gap)", "s0", "''"),
-    Detector("spelling.possessive_boundary", "Spelling", 0.96, "Separate the possessive name from its following noun.", r"rx(norm, '^\p{L}{2,}''s\p{L}{3,}\z')", "s0 + instr(norm, '''s') + 1", "s0 + instr(norm, '''s') + 1", "' '"),
+    Detector("spelling.possessive_boundary", "Spelling", 0.96, "Separate the possessive name from its following noun.", r"instr(norm, '''s') > 0 AND rx(norm, '^\p{L}{2,}''s\p{L}{3,}\z')", "s0 + instr(norm, '''s') + 1", "s0 + instr(norm, '''s') + 1", "' '"),
 )
 EXPLANATIONS = {d.rule_id: d.explanation for d in DETECTORS}
 EDIT = "struct<s:bigint,e:bigint,original:string,replacement:string,category:string,rule_id:string,confidence:double>"

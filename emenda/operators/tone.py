@@ -29,9 +29,9 @@ WORDS = {"fix": 1.25, "professional": 1.6, "friendly": 1.6, "concise": 1.1, "dir
 def worded(text: Column, mode: Column) -> Column:
     """The text in the words of its mode."""
     for modes, pattern, replacement in WORDING:
-        text = F.when(mode.isin(*modes), F.regexp_replace(text, pattern, replacement)).otherwise(text)
-    ends = F.rtrim(text).rlike(r"[\p{L}\p{N}]$")
-    return F.when((mode == "professional") & ends, F.concat(F.rtrim(text), F.lit("."))).otherwise(text)
+        # the text must stand once in each step: else the expression doubles with every rule
+        text = F.regexp_replace(text, F.when(mode.isin(*modes), F.lit(pattern)).otherwise(F.lit("(?!)")), F.lit(replacement))
+    return F.regexp_replace(text, F.when(mode == "professional", F.lit(r"([\p{L}\p{N}])\s*\z")).otherwise(F.lit("(?!)")), F.lit("$1."))
 
 
 def facts(text: Column) -> Column:

@@ -13,8 +13,8 @@ RULE = "id string, pattern string, replacement string, modes array<string>, cate
 
 def jsonl(spark: SparkSession, path: str, schema: str = REQUEST) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantined lines)."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    raw = spark.read.text(path).where("trim(value) <> ''").withColumn("r", F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return raw.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record"), raw.where("r._corrupt_record IS NOT NULL").select("value")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
