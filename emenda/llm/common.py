@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -49,6 +51,18 @@ def to_python(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(run):
+    """``run`` over Arrow batches, after which the worker, which lives on, gives back the memory that it no longer needs."""
+
+    def over(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each starts (one entry more than texts). Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
