@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emenda.llm.common import materialise, sized_broadcast, table_batches, utf8_parts
+from emenda.llm.common import BROADCAST_BYTES, ROW_BYTES, materialise, table_batches, to_python, utf8_parts, released
 from emenda.llm.ngram_join import _changes, _grouped, _parts, mix
 
 LENGTH = 400
@@ -132,7 +132,7 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     ids = batch.column(0).take(pa.array(number[text]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(first + moved), pa.array(last + moved), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64))], ["x_id", "x_first", "x_last", "x_anchor", "x_passage"])
 
-    return texts.mapInArrow(run, "x_id binary, x_first long, x_last long, x_anchor long, x_passage long")
+    return texts.mapInArrow(released(run), "x_id binary, x_first long, x_last long, x_anchor long, x_passage long")
 
 
 def suffix_order(raw: np.ndarray, place: np.ndarray, end: np.ndarray, h: Hashes, length: int) -> np.ndarray:
@@ -275,7 +275,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", length: int = LENGTH
 
     Repeated rows and equal texts have the same digest and make each other's strings come again.
     """
-    texts = docs.select(digest(F.col(text)).alias("x_id"), F.coalesce(F.col(text), F.lit("")).alias("x_text"))
+    texts = to_python(docs).select(digest(F.col(text)).alias("x_id"), F.coalesce(F.col(text), F.lit("")).alias("x_text"))
     long = texts.where(F.octet_length("x_text") >= length)
     rows = materialise(anchored(long, length, gram), "anchors")
     often = rows.groupBy("x_anchor").agg(F.count(F.lit(1)).alias("x_n")).where("x_n > 1").select("x_anchor")
@@ -288,9 +288,8 @@ def repeated_stretches(docs: DataFrame, text: str = "text", length: int = LENGTH
 
     unlike = kinds.join(several, "x_anchor").select("x_anchor", "x_passage", "x_n", "x_kinds", "x_one.*")
     wanted = unlike.groupBy("x_id").agg(F.collect_list(F.struct("x_first", "x_last", "x_anchor", "x_n", "x_kinds")).alias("x_want"))  # as many as a text has stretches at most
-    wanted = sized_broadcast(materialise(wanted, "wanted"), 1024)
-    # one of equal texts is enough: rows of the same digest are told apart by a number that each task gives
-    held = long.join(wanted, "x_id")
+    wanted = materialise(wanted, "wanted")
+    held = only(long, wanted).join(wanted, "x_id")
 
     def cut(batches):
         seen = set()
@@ -309,7 +308,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", length: int = LENGTH
                 kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds_of, strict=True)], ["x_anchor", "x_kinds", "x_n", "x_id", "x_first", "x_last", "x_body"])
 
-    bodies = materialise(held.select("x_id", "x_text", "x_want").mapInArrow(cut, "x_anchor long, x_kinds long, x_n long, x_id binary, x_first long, x_last long, x_body binary"), "bodies")
+    bodies = materialise(held.select("x_id", "x_text", "x_want").mapInArrow(released(cut), "x_anchor long, x_kinds long, x_n long, x_id binary, x_first long, x_last long, x_body binary"), "bodies")
     few = bodies.where(F.col("x_kinds") <= HOT).dropDuplicates(["x_anchor", "x_id", "x_first"])
     sorted_ = sorted_repeats(few, length)
     hot = hashed_repeats(bodies.where(F.col("x_kinds") > HOT).select("x_id", "x_first", "x_n", "x_body"), length)
@@ -317,6 +316,15 @@ def repeated_stretches(docs: DataFrame, text: str = "text", length: int = LENGTH
     return spans.groupBy("x_id").agg(F.collect_list(F.struct("a", "b")).alias("x_spans"))
 
 
+def only(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` with (or without) the ids in ``wanted``, so that fewer texts are shuffled; all rows if there are too many ids to broadcast."""
+    return rows.join(F.broadcast(wanted.select("x_id")), "x_id", how) if few(wanted) else rows
+
+
+def few(wanted: DataFrame) -> bool:
+    return wanted.count() * ROW_BYTES <= BROADCAST_BYTES
+
+
 def _stretches(first: int, again: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Runs of repeated places as bytes covered."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
@@ -341,7 +349,7 @@ def sorted_repeats(bodies: DataFrame, length: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["x_id", "a", "b"])
 
-    return bodies.select("x_anchor", "x_id", "x_first", "x_body").repartition(_parts(bodies), "x_anchor").sortWithinPartitions("x_anchor").mapInArrow(run, "x_id binary, a long, b long")
+    return bodies.select("x_anchor", "x_id", "x_first", "x_body").repartition(_parts(bodies), "x_anchor").sortWithinPartitions("x_anchor").mapInArrow(released(run), "x_id binary, a long, b long")
 
 
 def _blocks(groups):
@@ -374,7 +382,7 @@ def hashed_repeats(bodies: DataFrame, length: int) -> DataFrame:
             many = np.asarray(batch.column(2))[row]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first), pa.array(many), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["x_id", "x_place", "x_n", "x_one", "x_two"])
 
-    every = materialise(bodies.distinct().mapInArrow(strings, "x_id binary, x_place long, x_n long, x_one long, x_two long"), "strings")
+    every = materialise(bodies.distinct().mapInArrow(released(strings), "x_id binary, x_place long, x_n long, x_one long, x_two long"), "strings")
     twice = every.groupBy("x_one", "x_two").agg(F.sum("x_n").alias("x_n")).where("x_n > 1").select("x_one", "x_two")
     return every.join(twice, ["x_one", "x_two"], "left_semi").select("x_id", F.col("x_place").alias("a"), (F.col("x_place") + length).alias("b"))
 
@@ -385,8 +393,14 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
 
 def _cleaned(docs: DataFrame, key: str, text: str, length: int, gram: int, whole: bool) -> DataFrame:
-    spans = sized_broadcast(materialise(repeated_stretches(docs, text, length, gram), "spans"), 512)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("x_text"), digest(F.col(text)).alias("x_id")).join(spans, "x_id", "left").select("doc_id", "x_text", "x_spans")
+    spans = materialise(repeated_stretches(docs, text, length, gram), "spans")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("x_text"), digest(F.col(text)).alias("x_id"))
+    if few(spans):  # texts that keep all stay where they are
+        cut = only(rows, spans).join(spans, "x_id")
+        rows = cut.unionByName(only(rows, spans, "left_anti").withColumn("x_spans", F.lit(None).cast(cut.schema["x_spans"].dataType)))
+    else:
+        rows = rows.join(spans, "x_id", "left")
+    rows = rows.select("doc_id", "x_text", "x_spans")
 
     def run(batches):
         for batch in table_batches(batches, 4 << 20):
@@ -407,7 +421,7 @@ def _cleaned(docs: DataFrame, key: str, text: str, length: int, gram: int, whole
             yield pa.RecordBatch.from_arrays(columns[: 6 if whole else 5], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if whole else 5])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole)
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
