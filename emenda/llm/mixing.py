@@ -91,8 +91,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     line = line.join(F.broadcast(starts), "x_part")  # one row for each part
     within = W.partitionBy("x_part").orderBy("x_finish", "x_rank", "x_pass", "x_order", F.col("x_key").asc_nulls_first(), "x_size", "x_at")
     line = line.withColumn("x_run", F.col("x_start") + F.sum("x_size").over(within.rowsBetween(W.unboundedPreceding, 0)))
-    budget = sources.agg((F.lit(share) * F.sum("x_total")).alias("x_budget"))
-    taken = line.join(F.broadcast(budget), F.col("x_run") <= F.col("x_budget"))
+    budget = sources.agg(F.lit(share) * F.sum("x_total")).first()[0] or 0.0
+    taken = line.where(F.col("x_run") <= F.lit(float(budget)))
     # what a source gets is a prefix of its passes: keep where the prefix ends
     ends = taken.groupBy("x_source").agg(F.max(F.struct("x_pass", "x_order", "x_key", "x_size", "x_at")).alias("x_end"))
     ends = sources.alias("s").join(ends.alias("e"), F.col("s.x_source").eqNullSafe(F.col("e.x_source")), "left").select("s.*", "e.x_end")
