@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emenda.llm.common import held_out, table_batches, utf8_parts
+from emenda.llm.common import hashed_sample, held_out, table_batches, to_python, utf8_parts, released
 
 WINDOW = 256
 FILTERS = 8
@@ -127,7 +127,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     usable = docs.where(~held_out(F.col(key)) & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = F.xxhash64(F.lit(5), F.col(key), F.length(text))
     start = F.pmod(F.xxhash64(F.lit(6), F.col(key)), F.greatest(F.length(text) - WINDOW + 1, F.lit(1))) + 1
-    rows = usable.select(order.alias("o"), F.col(label).alias("y"), F.col(text).substr(start.cast("int"), F.lit(WINDOW)).alias("x")).orderBy("o", "y", "x").limit(most).collect()
+    count = docs.where(~held_out(F.col(key)) & F.col(label).isNotNull()).count()
+    rows = hashed_sample(usable.withColumn("x_o", order), "x_o", most, count)
+    rows = rows.select(F.shiftrightunsigned("x_o", 33).alias("o"), F.col(label).alias("y"), F.col(text).substr(start.cast("int"), F.lit(WINDOW)).alias("x")).orderBy("o", "y", "x").limit(most).collect()
     labels = sorted({r["y"] for r in rows})
     if not labels:
         return None
@@ -173,12 +175,12 @@ def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for batch in table_batches(batches):
+        for batch in table_batches(batches, 2 << 20):
             lang, score = read_texts(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text)).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return to_python(docs).select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text)).mapInArrow(released(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -197,11 +199,11 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches):
-        for batch in table_batches(batches):
+        for batch in table_batches(batches, 2 << 20):
             lang, _ = read_texts(shared.value, batch.column(at))
             given = batch.column(put)
             filled = pc.coalesce(given, pa.array(lang, pa.string()).cast(given.type))
             columns = [filled if i == put else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(lang != NONE))
 
-    return inner.mapInArrow(run, inner.schema).toDF(*names)
+    return to_python(inner).mapInArrow(released(run), inner.schema).toDF(*names)

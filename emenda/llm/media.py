@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emenda.llm.common import table_batches
+from emenda.llm.common import table_batches, to_python, released
 
 UNIT = 192
 RATE = 8000
@@ -231,7 +231,7 @@ def sniff_column(table: DataFrame, blob: str, declared: str | None = None, key:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r["kind"] for r in rows], pa.string()), pa.array([r["corrected"] for r in rows], pa.bool_()), pa.array(carved, inner)], [key, "media_type", "corrected", "carved"])
 
     said = F.col(declared) if declared else F.lit(None)
-    return table.select(key, F.col(blob).cast("binary"), said.cast("string").alias("x_declared")).mapInArrow(run, shape)
+    return to_python(table).select(key, F.col(blob).cast("binary"), said.cast("string").alias("x_declared")).mapInArrow(released(run), shape)
 
 
 def media_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,4 +259,4 @@ def media_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     shape = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(key).alias("doc_id"), F.col(text)).mapInArrow(run, shape)
+    return to_python(docs).select(F.col(key).alias("doc_id"), F.col(text)).mapInArrow(released(run), shape)

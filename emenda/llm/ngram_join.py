@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emenda.llm.common import keep_rows, materialise, row_mark, sized_broadcast, table_batches, to_python, utf8_parts
+from emenda.llm.common import keep_rows, materialise, row_mark, sized_broadcast, table_batches, to_python, utf8_parts, released
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -126,7 +126,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid, pa.binary()), pa.array(sig, pa.binary())], ["x_key", "x_mark", "x_sid", "x_sig"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return to_python(docs).select(F.col(key).alias("x_key"), row_mark(docs).alias("x_mark"), F.col(text)).mapInArrow(run, f"x_key {kind}, x_mark long, x_sid binary, x_sig binary")
+    return to_python(docs).select(F.col(key).alias("x_key"), row_mark(docs).alias("x_mark"), F.col(text)).mapInArrow(released(run), f"x_key {kind}, x_mark long, x_sid binary, x_sig binary")
 
 
 def _sig_matrix(column: pa.Array) -> np.ndarray:
@@ -156,7 +156,7 @@ def chosen(rows: DataFrame, runs: range | None) -> DataFrame:
                 for at, new in _steps(sig, path):
                     yield pa.RecordBatch.from_arrays([sid.take(pa.array(at)), pa.array(new.view(np.int64))], ["x_sid", "x_path"])
 
-    return rows.mapInArrow(run, "x_sid binary, x_path long")
+    return rows.mapInArrow(released(run), "x_sid binary, x_path long")
 
 
 def components(link: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def maybe_alike(rows: DataFrame, keys: list[str]) -> DataFrame:
                 right.append(sid[a + other])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.binary()) for x in (left, right)], ["x_a", "x_b"])
 
-    return rows.select(*keys, "x_sid", "x_sig").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "x_a binary, x_b binary")
+    return rows.select(*keys, "x_sid", "x_sig").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(released(run), "x_a binary, x_b binary")
 
 
 def _parts(df: DataFrame) -> int:
@@ -325,7 +325,7 @@ def exact_links(members: DataFrame) -> DataFrame:
                 to[a:b] = sid[a + components(link)]
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(links), pa.array(to, pa.binary())], ["x_sid", "x_links", "x_to"])
 
-    return members.select(*keys, "x_k", "x_sid", "x_weight", "x_set").repartition(parts, *keys).sortWithinPartitions(*keys, "x_sid").mapInArrow(run, "x_sid binary, x_links long, x_to binary")
+    return members.select(*keys, "x_k", "x_sid", "x_weight", "x_set").repartition(parts, *keys).sortWithinPartitions(*keys, "x_sid").mapInArrow(released(run), "x_sid binary, x_links long, x_to binary")
 
 
 def _shared(every: np.ndarray, size: np.ndarray, wide: int = 1 << 22) -> np.ndarray:
@@ -376,7 +376,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             sets = shingles(*utf8_parts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["x_sid", "x_set"])
 
-    sets = materialise(texts.mapInArrow(shingled, "x_sid binary, x_set binary"), "sets")
+    sets = materialise(texts.mapInArrow(released(shingled), "x_sid binary, x_set binary"), "sets")
     blocks = F.ceil(F.col("x_n") / BLOCK).cast("int")
     placed = found.join(sizes, "x_root").withColumn("x_k", F.pmod(F.xxhash64("x_sid"), blocks).cast("int")).withColumn("x_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("x_root", F.least("x_k", "x_j").alias("x_i"), F.greatest("x_k", "x_j").alias("x_j"), "x_k", "x_sid", "x_weight", "x_n")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emenda.llm.common import materialise, table_batches
+from emenda.llm.common import materialise, table_batches, to_python, released
 
 LIMIT = 4096
 END = 1
@@ -28,8 +28,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Ranks within a length are counted in so many parts, so that no task gets all pieces of a common length.
 PARTS = 256
 #: Words kept with their ids by each worker; beyond it the cache starts afresh.
-CACHED = 1_000_000
+CACHED = 250_000
 _LONG = 64
+_GROUP = 256
 
 
 class WordIds:
@@ -37,7 +38,8 @@ class WordIds:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its parts between spaces and line feeds.
     It also parts letters and digits from the marks after them and ignores case, so a part is looked up without its last mark and in lower case. What
-    a batch of texts has and the cache has not is encoded in one call.
+    a batch of texts has and the cache has not is encoded in few calls: words of letters alone are joined by spaces, and as each ends with an
+    end-of-word token and has no other, the ids fall apart into words again; a group with another count is encoded word by word.
     """
 
     def __init__(self, path: str):
@@ -45,6 +47,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {"": b""}, {"": b""}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -67,7 +73,18 @@ class WordIds:
         rows = [t.replace("\n", " ").split(" ") for t in texts]
         new = {p: self._word(p) for p in {p for row in rows for p in row if p not in parts}}
         unseen = [w for w in {w for pair in new.values() for w in pair} if w not in words]
-        for w, found in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
+        letters = [w for w in unseen if w.isalpha()] if self.ends.any() else []
+        groups = [letters[k : k + _GROUP] for k in range(0, len(letters), _GROUP)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(group):
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(group, stops.tolist(), strict=True):
+                    words[w] = raw[at:stop]
+                    at = stop
+        rest = [w for w in unseen if w not in words]
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             words[w] = np.array(found.ids, "<u4").tobytes()
         for p, (w, mark) in new.items():
             parts[p] = words[w] + words[mark] if mark else words[w]
@@ -88,7 +105,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 
     def cut(batches):
         encode = WordIds.of(path)
-        for batch in table_batches(batches, 4 << 20):
+        for batch in table_batches(batches, 2 << 20):
             out = [[], [], [], [], []]
             for name, own in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = own + end
@@ -99,7 +116,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return to_python(docs).select(key, text).mapInArrow(released(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
@@ -227,7 +244,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packed_table(report: DataFrame) -> pd.DataFrame:

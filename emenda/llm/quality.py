@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emenda.llm.common import held_out, table_batches, utf8_parts
+from emenda.llm.common import hashed_sample, held_out, table_batches, to_python, utf8_parts, released
 from emenda.llm.ngram_join import SPACES, Shingler, mix
 
 #: At most so many labelled documents are used to fit.
@@ -182,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     A key that has several labels counts once, with the largest.
     """
     own = labels.where(~held_out(F.col(key)) & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("x_key")).agg(F.max(label).cast("double").alias("x_y"))
-    chosen = own.orderBy(F.xxhash64(F.lit(9), "x_key"), "x_key").limit(most)
-    rows = docs.select(F.col(key).alias("x_key"), F.col(text).alias("x_text")).join(F.broadcast(chosen), "x_key").select("x_y", "x_text")  # ``most`` bounds it
+    own = own.withColumn("x_o", F.xxhash64(F.lit(9), "x_key"))
+    chosen = hashed_sample(own, "x_o", most, labels.count()).orderBy(F.shiftrightunsigned("x_o", 33), "x_key").limit(most)
+    rows = to_python(docs).select(F.col(key).alias("x_key"), F.col(text).alias("x_text")).join(F.broadcast(chosen), "x_key").select("x_y", "x_text")  # ``most`` bounds it
 
     def run(batches):
         shingler = Shingler()
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             x = statistics(*utf8_parts(batch.column(1)), shingler)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    found = rows.mapInArrow(run, "y double, x array<double>").toPandas()
+    found = rows.mapInArrow(released(run), "y double, x array<double>").toPandas()
     if not len(found):
         return None
     x, y = np.array(found["x"].tolist()), found["y"].to_numpy()
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: Boosted | None, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text)).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return to_python(docs).select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text)).mapInArrow(released(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
