@@ -89,8 +89,18 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
+def once(named: DataFrame, seen: DataFrame) -> DataFrame:
+    """x_sha, x_text of each different text. Only texts with copies are shuffled, as long as their hashes can be broadcast."""
+    copied = materialise(seen.groupBy("x_sha").agg(F.count(F.lit(1)).alias("x_n")).where(F.col("x_n") > 1).select("x_sha"), "copied")
+    texts = named.select("x_sha", "x_text")
+    if copied.count() * 128 > BROADCAST_BYTES:
+        return texts.dropDuplicates(["x_sha"])
+    copied = F.broadcast(copied)
+    return texts.join(copied, "x_sha", "left_anti").unionByName(texts.join(copied, "x_sha", "left_semi").dropDuplicates(["x_sha"]))
+
+
 def disclosing_terms(seen: DataFrame, texts: DataFrame) -> DataFrame:
-    """x_term for each term that discloses an entity. ``seen``: x_sha, x_spans; ``texts``: x_text, all documents, which give N and every df."""
+    """x_term for each term that discloses an entity. ``seen``: x_sha, x_spans; ``texts``: x_sha, x_text, each different text once. N and every df count different texts."""
     near = seen.select("x_sha", F.explode("x_spans").alias("x")).select("x_sha", F.concat(F.col("x.k").cast("string"), F.lit(":"), F.lower("x.v")).alias("x_entity"), F.col("x.near").alias("x_near"))
     near = near.withColumn("x_context", F.xxhash64("x_near"))
     entities = near.groupBy("x_entity").agg(F.countDistinct("x_sha").alias("x_de"), F.countDistinct("x_context").alias("x_c")).where(F.col("x_c") >= SUPPORT)
@@ -103,7 +113,7 @@ def disclosing_terms(seen: DataFrame, texts: DataFrame) -> DataFrame:
         counts = words.join(F.broadcast(wanted), "x_term", "left_semi").groupBy("x_term").agg(F.count(F.lit(1)).alias("x_dt"))
     else:
         counts = words.groupBy("x_term").agg(F.count(F.lit(1)).alias("x_dt")).join(wanted, "x_term", "left_semi")
-    total = seen.count()
+    total = seen.select("x_sha").distinct().count()
     gain = F.log(F.lit(float(max(total, 1))) * F.col("x_both") / (F.col("x_de") * F.col("x_dt")))
     worth = F.log(F.lit(float(max(total, 1))) / F.col("x_de"))
     return pairs.join(counts, "x_term").where((worth > 0) & (gain >= DISCLOSURE * worth)).select("x_term").distinct()
@@ -112,8 +122,8 @@ def disclosing_terms(seen: DataFrame, texts: DataFrame) -> DataFrame:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, terms): for each row x_key, x_sha, x_spans (base), x_terms (array<struct<s, e>>); and the disclosing terms.
 
-    Null counts as empty. Documents with the same text are separate documents in N and df(term) and one in df(entity) and df(entity, term), so
-    copies alone don't make a term disclosing. Nothing depends on the key. No rows give no rows.
+    Null counts as empty. N, df(term), df(entity) and df(entity, term) all count different texts, so copies neither make a term disclosing nor hide
+    one. Nothing depends on the key. No rows give no rows.
     """
     named = docs.select(F.col(key).alias("x_key"), F.coalesce(F.col(text), F.lit("")).alias("x_text")).withColumn("x_sha", F.sha2(F.col("x_text").cast("binary"), 256))
     window = lambda x: F.substring(F.col("x_text"), F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR)))
@@ -121,7 +131,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     spans = F.transform(F.col("x_base"), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), F.concat(window(x), F.lit(" "), after(x)).alias("near")))
     seen = named.withColumn("x_base", base_spans(F.col("x_text"))).select("x_key", "x_sha", spans.alias("x_spans"))
     seen = materialise(seen, "seen")
-    terms = materialise(disclosing_terms(seen, named), "terms")
+    terms = materialise(disclosing_terms(seen, once(named, seen)), "terms")
     if not terms.limit(1).count():
         return seen.withColumn("x_terms", F.array().cast("array<struct<s:int,e:int>>")), terms
     hits = named.select("x_sha", F.explode(_words(F.col("x_text"))).alias("x_term")).join(sized_broadcast(terms), "x_term").distinct()

@@ -92,6 +92,13 @@ def test_terms_that_disclose(spark):
     assert clean[999] == "who is <TERM> then? zorblatts" and clean[100] == rows[6][1] and clean[None] is None and "<EMAIL>" in clean[0]
 
 
+def test_copies_do_not_hide_terms(spark):
+    rows = [(1, "one zorblatt john@corp.example.com here"), (2, "two zorblatt john@corp.example.com there")] + [(10 + i, f"ordinary {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} text") for i in range(200)]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]
+    got = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:4:12" in got[1].spans and "term:4:12" in got[2].spans and got[1299].spans == got[1].spans and got[10].n_term == 0
+
+
 def test_pii_of_odd_rows(messy, empty):
     assert pii.pii_report(messy).count() == messy.count() and pii.pii_report(empty).count() == 0
     assert pii.sanitised(messy).columns == messy.columns
