@@ -2,8 +2,8 @@
 
 Patterns find protected entities (e-mail and IP addresses, card and phone numbers). How strongly a term reveals one is estimated
 from the corpus: PMI(entity; term) = ln(N * df(entity, term) / (df(entity) * df(term))), against the entity's information
-IC(entity) = -ln(df(entity) / N). A term discloses an entity if PMI >= DISCLOSURE * IC and it stands close to it in at least SUPPORT
-different contexts; all its occurrences in the corpus are then spans of kind ``term``, to be generalised with the rest.
+IC(entity) = -ln(df(entity) / N). df counts whole texts. A term discloses an entity if PMI >= DISCLOSURE * IC and it has SUPPORT: texts
+in which the entity has at least so many different sets of contexts, or so many different contexts close to it; all its occurrences in the corpus are then spans of kind ``term``, to be generalised with the rest.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from emenda.llm.common import BROADCAST_BYTES, materialise, sized_broadcast
 
 DISCLOSURE = 0.9
 SUPPORT = 2
-#: Characters on either side of an entity in which terms count as close to it.
-NEAR = 64
+#: Characters on either side of an entity that make a context; words cut by its edges are completed by so many more.
+NEAR, WIDE = 64, 256
 CHUNK = 64
 WORD = r"\p{L}{3,}"
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -89,6 +89,14 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
+def _plain(text: Column) -> Column:
+    """Words outside e-mail addresses (no other entity has letters) and words of two addresses or more: those that an entity has beside itself."""
+    mails = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), F.lower))
+    parts = F.array_sort(F.flatten(F.transform(mails, _words)))
+    shared = F.element_at(F.transform(F.array(parts), lambda z: F.filter(z, lambda w, i: (i > 0) & w.eqNullSafe(F.get(z, i - 1)))), 1)
+    return F.when(text.contains("@"), F.array_union(_words(F.regexp_replace(text, EMAIL, " ")), shared)).otherwise(_words(text))
+
+
 def once(named: DataFrame, seen: DataFrame) -> DataFrame:
     """x_sha, x_text of each different text. Only texts with copies are shuffled, as long as their hashes can be broadcast."""
     copied = materialise(seen.groupBy("x_sha").agg(F.count(F.lit(1)).alias("x_n")).where(F.col("x_n") > 1).select("x_sha"), "copied")
@@ -101,11 +109,19 @@ def once(named: DataFrame, seen: DataFrame) -> DataFrame:
 
 def disclosing_terms(seen: DataFrame, texts: DataFrame) -> DataFrame:
     """x_term for each term that discloses an entity. ``seen``: x_sha, x_spans; ``texts``: x_sha, x_text, each different text once. N and every df count different texts."""
-    near = seen.select("x_sha", F.explode("x_spans").alias("x")).select("x_sha", F.concat(F.col("x.k").cast("string"), F.lit(":"), F.lower("x.v")).alias("x_entity"), F.col("x.near").alias("x_near"))
-    near = near.withColumn("x_context", F.xxhash64("x_near"))
+    near = seen.select("x_sha", F.explode("x_spans").alias("x")).select("x_sha", F.concat(F.col("x.k").cast("string"), F.lit(":"), F.lower("x.v")).alias("x_entity"), F.col("x.near").alias("x_near"), F.col("x.context").alias("x_context"))
     entities = near.groupBy("x_entity").agg(F.countDistinct("x_sha").alias("x_de"), F.countDistinct("x_context").alias("x_c")).where(F.col("x_c") >= SUPPORT)
-    terms = near.join(entities.select("x_entity"), "x_entity", "left_semi").select("x_entity", "x_sha", "x_context", F.explode(_words(F.col("x_near"))).alias("x_term"))
-    pairs = terms.groupBy("x_entity", "x_term").agg(F.countDistinct("x_sha").alias("x_both"), F.countDistinct("x_context").alias("x_c")).where(F.col("x_c") >= SUPPORT)
+    near = near.join(entities.select("x_entity"), "x_entity", "left_semi")
+    close = near.select("x_entity", "x_context", F.explode(_words(F.col("x_near"))).alias("x_term")).groupBy("x_entity", "x_term").agg(F.countDistinct("x_context").alias("x_c"))
+    close = close.where(F.col("x_c") >= SUPPORT).select("x_entity", "x_term", F.lit(True).alias("x_close"))
+    own = near.select("x_sha", "x_entity", "x_context").distinct().groupBy("x_sha", "x_entity").agg(F.bit_xor("x_context").alias("x_places"))
+    own = materialise(own, "own")
+    holders = materialise(own.select("x_sha").distinct(), "holders")
+    held = texts.join(sized_broadcast(holders, 128), "x_sha", "left_semi").select("x_sha", _words(F.col("x_text")).alias("x_all"), _plain(F.col("x_text")).alias("x_plain"))
+    named = F.array_union("x_plain", F.array_except("x_all", _words(F.substring("x_entity", 3, 1 << 30))))
+    pairs = held.join(own, "x_sha").select("x_entity", "x_places", F.explode(named).alias("x_term"))
+    pairs = pairs.groupBy("x_entity", "x_term").agg(F.count(F.lit(1)).alias("x_both"), F.countDistinct("x_places").alias("x_c"))
+    pairs = pairs.join(close, ["x_entity", "x_term"], "left").where((F.col("x_c") >= SUPPORT) | F.col("x_close"))
     pairs = materialise(pairs.join(entities.select("x_entity", "x_de"), "x_entity").select("x_entity", "x_term", "x_both", "x_de"), "pairs")
     wanted = materialise(pairs.select("x_term").distinct(), "wanted")
     words = texts.select(F.explode(_words(F.col("x_text"))).alias("x_term"))
@@ -128,7 +144,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     named = docs.select(F.col(key).alias("x_key"), F.coalesce(F.col(text), F.lit("")).alias("x_text")).withColumn("x_sha", F.sha2(F.col("x_text").cast("binary"), 256))
     window = lambda x: F.substring(F.col("x_text"), F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR)))
     after = lambda x: F.substring(F.col("x_text"), x["e"] + 1, F.lit(NEAR))
-    spans = F.transform(F.col("x_base"), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), F.concat(window(x), F.lit(" "), after(x)).alias("near")))
+    # the rest of words that the window's edges cut
+    head = lambda x: F.when(window(x).rlike(r"^\p{L}"), F.regexp_extract(F.substring(F.col("x_text"), F.greatest(x["s"] - NEAR - WIDE, F.lit(0)) + 1, F.least(F.greatest(x["s"] - NEAR, F.lit(0)), F.lit(WIDE))), r"\p{L}+\z", 0)).otherwise("")
+    tail = lambda x: F.when(after(x).rlike(r"\p{L}\z"), F.regexp_extract(F.substring(F.col("x_text"), x["e"] + NEAR + 1, F.lit(WIDE)), r"^\p{L}+", 0)).otherwise("")
+    spans = F.transform(
+        F.col("x_base"),
+        lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), F.concat(head(x), window(x), F.lit(" "), after(x), tail(x)).alias("near"), F.xxhash64(F.concat(window(x), F.lit(" "), after(x))).alias("context")),
+    )
     seen = named.withColumn("x_base", base_spans(F.col("x_text"))).select("x_key", "x_sha", spans.alias("x_spans"))
     seen = materialise(seen, "seen")
     terms = materialise(disclosing_terms(seen, once(named, seen)), "terms")

@@ -99,6 +99,22 @@ def test_copies_do_not_hide_terms(spark):
     assert "term:4:12" in got[1].spans and "term:4:12" in got[2].spans and got[1299].spans == got[1].spans and got[10].n_term == 0
 
 
+def test_terms_far_from_the_entity(spark):
+    far = " filler" * 20
+    rows = [(i, f"zorblatt {far} {'abcdef'[i] * 4} john@corp.example.com {'ghijkl'[i] * 4}") for i in range(6)]
+    rows += [(100 + i, f"filler {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} text") for i in range(200)] + [(999, "who is Zorblatt")]
+    got = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[999].spans == "term:7:15" and "term:0:8" in got[0].spans and got[100].n_term == 0
+
+
+def test_near_copies_do_not_make_terms(spark):
+    pad = " filler" * 20
+    rows = [(i, f"zorblatt {pad} same john@corp.example.com words {pad} {'abc'[i] * 4}") for i in range(3)]
+    rows += [(50, "other john@corp.example.com place")] + [(100 + i, f"filler {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} text") for i in range(200)]
+    got = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_term == 0
+
+
 def test_pii_of_odd_rows(messy, empty):
     assert pii.pii_report(messy).count() == messy.count() and pii.pii_report(empty).count() == 0
     assert pii.sanitised(messy).columns == messy.columns
