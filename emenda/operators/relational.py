@@ -34,6 +34,11 @@ met AS (SELECT DISTINCT sd.w AS slip, ld.w AS word, ld.c AS c FROM sd JOIN ld ON
 cand AS (SELECT slip, word, c, CASE WHEN length(slip) > length(word) THEN 'extra' WHEN length(slip) < length(word) THEN 'missing' ELSE 'other' END AS kind, abs(length(slip) - length(word)) + 0.3 * CASE WHEN substr(slip, 1, 1) = substr(word, 1, 1) THEN 0 ELSE 1 END AS cost FROM met WHERE levenshtein(slip, word) = 1)"""
 add("spelling_candidates", "tokens", f"{_CAND} SELECT slip, kind, count(*) AS words, min(word) AS first_word, CAST(sum(c) AS BIGINT) AS uses FROM cand GROUP BY slip, kind")
 add("spelling_best", "tokens", f"{_CAND}, r AS (SELECT slip, word, log10(c) - cost AS score, row_number() OVER (PARTITION BY slip ORDER BY log10(c) - cost DESC, word) AS k, lead(log10(c) - cost) OVER (PARTITION BY slip ORDER BY log10(c) - cost DESC, word) AS second FROM cand) SELECT slip, word, round(score, 6) AS score, second IS NULL OR score - second >= 1.0 AS sure FROM r WHERE k = 1")
+#: As _CAND, a swap of neighbours counting as one edit too.
+_OSA = f"""{_CAND}, swapped AS (SELECT w AS slip, concat(substr(w, 1, k - 1), substr(w, k + 1, 1), substr(w, k, 1), substr(w, k + 2)) AS word FROM (SELECT w, flat(series(1, length(w) - 1)) AS k FROM slips) x),
+osa AS (SELECT slip, word, c, kind, cost FROM cand UNION ALL SELECT s.slip AS slip, l.w AS word, l.c AS c, 'swap' AS kind, 0.3 * CASE WHEN substr(s.slip, 1, 1) = substr(l.w, 1, 1) THEN 0 ELSE 1 END AS cost FROM swapped s JOIN lex l ON s.word = l.w)"""
+add("spelling_candidates_osa", "tokens", f"{_OSA} SELECT slip, kind, count(*) AS words, min(word) AS first_word, CAST(sum(c) AS BIGINT) AS uses FROM osa GROUP BY slip, kind")
+add("spelling_best_osa", "tokens", f"{_OSA}, r AS (SELECT slip, word, log10(c) - cost AS score, row_number() OVER (PARTITION BY slip ORDER BY log10(c) - cost DESC, word) AS k, lead(log10(c) - cost) OVER (PARTITION BY slip ORDER BY log10(c) - cost DESC, word) AS second FROM osa) SELECT slip, word, round(score, 6) AS score, second IS NULL OR score - second >= 1.0 AS sure FROM r WHERE k = 1")
 add("word_splits", "tokens", f"WITH {_WORDS}, short AS (SELECT w, c FROM words WHERE c >= {COMMON} AND length(w) >= 2), rare AS (SELECT w FROM words WHERE c <= {RARE} AND length(w) BETWEEN 6 AND 12), cut AS (SELECT w, substr(w, 1, k) AS a, substr(w, k + 1) AS b FROM (SELECT w, flat(series(2, length(w) - 2)) AS k FROM rare) x), r AS (SELECT cut.w AS w, a, b, least(l.c, m.c) AS weak, row_number() OVER (PARTITION BY cut.w ORDER BY least(l.c, m.c) DESC, a) AS k FROM cut JOIN short l ON cut.a = l.w JOIN short m ON cut.b = m.w) SELECT w, a, b, weak FROM r WHERE k = 1")
 add("real_word_slips", "tokens", f"WITH {_WORDS}, {PAIRS}, lex AS (SELECT w, c FROM words WHERE c >= {COMMON} AND length(w) BETWEEN 4 AND 10), del AS (SELECT DISTINCT w, concat(substr(w, 1, k - 1), '_', substr(w, k + 1)) AS d FROM (SELECT w, flat(series(1, length(w))) AS k FROM lex) x), alike AS (SELECT DISTINCT x.w AS w, y.w AS v FROM del x JOIN del y ON x.d = y.d WHERE x.w <> y.w), seen AS (SELECT p.a AS a, p.b AS w, p.c AS c, k.v AS v FROM pairs p JOIN alike k ON p.b = k.w WHERE p.c = 1), better AS (SELECT s.a AS a, s.w AS w, s.v AS v, q.c AS c, row_number() OVER (PARTITION BY s.a, s.w ORDER BY q.c DESC, s.v) AS k FROM seen s JOIN pairs q ON q.a = s.a AND q.b = s.v WHERE q.c >= 5) SELECT a, w, v, c FROM better WHERE k = 1")
 # names and languages ---------------------------------------------------------------------------------------------------------

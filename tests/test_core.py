@@ -162,6 +162,19 @@ def test_query_equals_sql(spark, name):
     assert cells(df.select(*names).collect()) == cells(want)
 
 
+def test_swaps_are_candidates(spark, tmp_path):
+    text = "their friend " * 25 + "thier freind frend"
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("spelling_candidates_osa", "spelling_best_osa"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        got = df.collect()
+        word = "first_word" if "first_word" in df.columns else "word"
+        assert {(r.slip, r[word]) for r in got} == {("thier", "their"), ("freind", "friend"), ("frend", "friend")}
+        assert cells(got) == cells(con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]}) q").fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
