@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences, by exact-complement hashing on the histogram of lengths.
 
 Documents are cut into pieces of at most ``limit`` tokens. Only the number of pieces of each length, a table of at
-most ``limit`` rows whatever the input, goes to the driver. There single lengths and sums of two
-and three lengths are indexed, and combinations that exactly fill a gap are consumed as long as pieces of those lengths
+most ``limit`` rows whatever the input, goes to the driver. There an index (``Sums``) holds how many single lengths, pairs and triples
+have each sum under the availability counts; combinations that exactly fill a gap are consumed as long as pieces of those lengths
 are there; what is left is placed best-fit, longest first. The plan, as runs of ranks of each length, goes back to the pieces: each
 finds its place by its length and its rank among pieces of that length.
 """
@@ -119,56 +119,104 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     return to_python(docs).select(key, text).mapInArrow(released(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that are there and sum to the gap, the largest first."""
-    if gap <= 0:
-        return None
-    if left[gap]:
-        return (gap,)
-    low = np.arange(1, gap // 2 + 1)
-    ok = (left[low] > 0) & (left[gap - low] > 0) & ((low * 2 != gap) | (left[low] > 1))
-    if ok.any():
-        a = int(low[ok.argmax()])
-        return (gap - a, a)
-    there = np.flatnonzero(left[: gap - 1])
-    for big in there[::-1]:
-        rest = gap - int(big)
-        if rest > 2 * big:
-            break
-        a = there[(there <= rest // 2)]
-        b = rest - a
-        ok = (b >= a) & (b <= big) & (left[b] > 0)
-        if ok.any():
-            for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                lengths = (int(big), y, x)
-                if all(left[v] >= lengths.count(v) for v in lengths):
-                    return lengths
-    return None
+class Sums:
+    """Lengths that are left, with an index of every sum of one, two and three of them.
+
+    ``ways[k][s]`` counts the different combinations of k + 1 lengths with the sum s that the availability counts allow: a length is in a
+    combination at most as often as there are pieces of it. An entry changes only where the first, second or third piece of a length comes
+    or goes, by one vector operation over the lengths, so whether a gap can be filled exactly is one look-up.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.top = len(counts) - 1
+        self.left = np.zeros(len(counts), np.int64)
+        self.there = np.zeros(len(counts), np.int64)
+        self.ways = [self.there, np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)]
+        for v in np.flatnonzero(counts):
+            self.change(int(v), int(counts[v]))
+
+    def change(self, v: int, by: int) -> None:
+        """More (or, negative, fewer) pieces of length ``v``."""
+        old, new = min(int(self.left[v]), 3), min(int(self.left[v]) + by, 3)
+        self.left[v] += by
+        for k in range(old + 1, new + 1):
+            self._piece(v, k, 1)
+        for k in range(old, new, -1):
+            self._piece(v, k, -1)
+
+    def _piece(self, v: int, k: int, sign: int) -> None:
+        """The ``k``-th piece of a length comes (1) or goes (-1): combinations in which it stands k times do so too."""
+        one, two, three = self.ways
+        if k * v > self.top:
+            if k == 1:
+                one[v] += sign
+            return
+        if k == 3:
+            three[3 * v] += sign
+            return
+        others = one.copy()
+        others[v] = 0
+        if k == 2:
+            two[2 * v] += sign
+            three[2 * v :] += sign * others[: self.top + 1 - 2 * v]
+            return
+        if sign < 0:
+            two[v:] -= others[: self.top + 1 - v]
+        three[v:] += sign * two[: self.top + 1 - v]  # pairs without the length
+        if sign > 0:
+            two[v:] += others[: self.top + 1 - v]
+        one[v] += sign
+
+    def pair(self, gap: int) -> tuple[int, int]:
+        """The pair with the largest length, where ways[1][gap] > 0."""
+        a = np.arange(gap - 1, (gap - 1) // 2, -1)
+        ok = (self.left[a] > 0) & (self.left[gap - a] > (2 * a == gap))
+        first = int(a[ok.argmax()])
+        return first, gap - first
+
+    def filling(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that are there and sum to the gap, the fewest and then the largest first."""
+        if gap <= 0:
+            return None
+        if self.ways[0][gap]:
+            return (gap,)
+        if self.ways[1][gap]:
+            return self.pair(gap)
+        if not self.ways[2][gap]:
+            return None
+        for first in np.flatnonzero(self.ways[0][:gap])[::-1].tolist():
+            self.change(first, -1)
+            rest = self.pair(gap - first) if self.ways[1][gap - first] else None
+            self.change(first, 1)
+            if rest:
+                return (first, *rest)
+        raise AssertionError("the index holds a sum that no lengths have")
 
 
 def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how many sequences follow each. counts[n]: pieces of length n."""
-    left, out = counts.astype(np.int64).copy(), []
+    out = []
+    index = Sums(counts)
+    left = index.left
 
-    def take(lengths: tuple[int, ...], most: int | None = None) -> None:
+    def take(lengths: tuple[int, ...]) -> None:
+        """As many sequences of this pattern as there are pieces for."""
         times = min(int(left[v]) // lengths.count(v) for v in set(lengths))
-        times = min(times, most or times)
-        for v in lengths:
-            left[v] -= times
+        for v in set(lengths):
+            index.change(v, -times * lengths.count(v))
         out.append((lengths, times))
 
     if left[limit]:
         take((limit,))
-    misses: set[int] = set()
     for long in range(limit - 1, 0, -1):
         while left[long]:
-            left[long] -= 1  # a piece of its own isn't its complement
-            found = _exact(left, limit - long)
-            left[long] += 1
+            index.change(long, -1)  # a piece of its own isn't its complement
+            found = index.filling(limit - long)
+            index.change(long, 1)
             if not found:
-                misses.add(long)
                 break
             take((long, *found))
+    left = left.copy()
     # best fit, longest first, for whole classes of sequences with the same room
     rooms: dict[int, list[list]] = {}
     free = np.zeros(limit + 1, bool)

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import zlib
 
@@ -78,6 +79,27 @@ def test_packing(messy, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_index_of_sums():
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        top = int(rng.integers(5, 22))
+        sums = packing.Sums(np.bincount(rng.integers(1, top + 1, rng.integers(0, 20)), minlength=top + 1))
+        for _ in range(4):
+            there = np.flatnonzero(sums.left).tolist()
+            for k in (1, 2, 3):
+                want = np.zeros(top + 1, int)
+                for c in itertools.combinations_with_replacement(there, k):
+                    if sum(c) <= top and all(c.count(v) <= sums.left[v] for v in c):
+                        want[sum(c)] += 1
+                assert (sums.ways[k - 1] == want).all()
+            for gap in range(1, top + 1):
+                found = sums.filling(gap)
+                assert (found is not None) == any(w[gap] for w in sums.ways)
+                assert not found or (sum(found) == gap and all(found.count(v) <= sums.left[v] for v in found))
+            v = int(rng.integers(1, top + 1))
+            sums.change(v, int(rng.integers(-sums.left[v], 4)))
+
+
 def test_plan_uses_each_piece_once():
     rng = np.random.default_rng(5)
     for limit, n in ((16, 40), (64, 500), (256, 3000)):
