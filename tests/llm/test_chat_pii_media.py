@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import ahocorasick  # noqa: F401
@@ -159,3 +160,14 @@ def test_sniffed_column(spark):
     df = spark.createDataFrame([(1, bytearray(png()), "audio/wav"), (2, None, None), (3, bytearray(b""), "text/plain")], "doc_id int, blob binary, kind string")
     got = {r.doc_id: (r.media_type, r.corrected) for r in media.sniff_column(df, "blob", "kind").collect()}
     assert got == {1: ("image/png", True), 2: ("application/octet-stream", False), 3: ("application/octet-stream", True)}
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1.", b"GIF89a\0\0\0\0\0\0\0!\0", b"\xff\xd8\xff\xe0\0\2", b"PK\3\4" + b"\0" * 28, b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"])
+def test_blobs_full_of_signatures_take_linear_time(unit):
+    magics, took = media.automaton(), []
+    for size in (300_000, 3_000_000):
+        blob = unit * (size // len(unit))
+        start = time.process_time()
+        media.sniff(blob, magics)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0] + 2
