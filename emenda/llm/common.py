@@ -19,19 +19,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset a new one is made, on a local master only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="emenda-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, nothing is computed twice, and a lost executor loses no part of it."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut, nothing is computed twice, and a lost executor loses no part of it.
+
+    The tables of an application stand in one folder, which goes when its JVM ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/emenda-{uuid.uuid4().hex}/{name}"
+    home = f"{shared_dir(spark)}/emenda-{spark.sparkContext.applicationId}"
+    path = f"{home}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,6 +111,24 @@ def sized_broadcast(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Keys that come more often are joined apart from the others, at least.
+HOT_KEY = 10_000
+
+
+def split_join(rows: DataFrame, side: DataFrame, keys: list[str], number: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) with ``side``, whose column ``number`` says how many of ``rows`` each key has. Both should be written tables.
+
+    Keys that come more than HOT_KEY times, or so often that no more of them than can be broadcast exist, are joined by a broadcast, wherever
+    their rows are; so each key that is shuffled has a bounded number of rows, and the broadcast side has a bounded size.
+    """
+    often = max(HOT_KEY, -(-rows.count() * ROW_BYTES // BROADCAST_BYTES))
+    hot = side.where(F.col(number) > often)
+    if not hot.limit(1).count():
+        return rows.join(side, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(number) <= often), keys, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys, how))
+
+
 def keep_rows(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were.
 
@@ -122,7 +148,11 @@ def keep_rows(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
+def sample_bound(most: int, count: int) -> int:
+    """Of ``count`` rows with hashes of 31 bits about ``most`` to twice as many are below it: what each task sends on shrinks as tasks grow in number."""
+    return int(min(1.0, 2 * most / max(count, 1)) * (1 << 31)) + 1
+
+
 def hashed_sample(rows: DataFrame, order: str, most: int, count: int) -> DataFrame:
-    """About ``most`` to twice as many of ``count`` rows, those with the smallest hashes in column ``order``: what each task sends on shrinks as tasks grow in number."""
-    share = min(1.0, 2 * most / max(count, 1))
-    return rows.where(F.shiftrightunsigned(F.col(order), 33) < int(share * (1 << 31)) + 1)
+    """About ``most`` to twice as many of ``count`` rows, those with the smallest hashes in column ``order``."""
+    return rows.where(F.shiftrightunsigned(F.col(order), 33) < sample_bound(most, count))

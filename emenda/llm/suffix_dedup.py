@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emenda.llm.common import BROADCAST_BYTES, ROW_BYTES, materialise, table_batches, to_python, utf8_parts, released
+from emenda.llm.common import BROADCAST_BYTES, ROW_BYTES, materialise, released, split_join, table_batches, to_python, utf8_parts
 from emenda.llm.ngram_join import _changes, _grouped, _parts, mix
 
 LENGTH = 400
@@ -278,15 +278,15 @@ def repeated_stretches(docs: DataFrame, text: str = "text", length: int = LENGTH
     texts = to_python(docs).select(digest(F.col(text)).alias("x_id"), F.coalesce(F.col(text), F.lit("")).alias("x_text"))
     long = texts.where(F.octet_length("x_text") >= length)
     rows = materialise(anchored(long, length, gram), "anchors")
-    often = rows.groupBy("x_anchor").agg(F.count(F.lit(1)).alias("x_n")).where("x_n > 1").select("x_anchor")
-    met = materialise(rows.join(often, "x_anchor"), "met")
+    often = materialise(rows.groupBy("x_anchor").agg(F.count(F.lit(1)).alias("x_n")).where("x_n > 1"), "often")
+    met = materialise(split_join(rows, often, ["x_anchor"], "x_n", "left_semi"), "met")
     kinds = met.groupBy("x_anchor", "x_passage").agg(F.count(F.lit(1)).alias("x_n"), F.min(F.struct("x_id", "x_first", "x_last")).alias("x_one"))
     kinds = materialise(kinds, "kinds")
-    several = kinds.groupBy("x_anchor").agg(F.count(F.lit(1)).alias("x_kinds")).where("x_kinds > 1")
-    again = met.join(kinds.where("x_n > 1").select("x_anchor", "x_passage"), ["x_anchor", "x_passage"], "left_semi")
+    several = materialise(kinds.groupBy("x_anchor").agg(F.count(F.lit(1)).alias("x_kinds")).where("x_kinds > 1"), "several")
+    again = split_join(met, kinds.where("x_n > 1").select("x_anchor", "x_passage", "x_n"), ["x_anchor", "x_passage"], "x_n", "left_semi")
     again = again.select("x_id", F.col("x_first").alias("a"), (F.col("x_last") + length).alias("b")).distinct()
 
-    unlike = kinds.join(several, "x_anchor").select("x_anchor", "x_passage", "x_n", "x_kinds", "x_one.*")
+    unlike = split_join(kinds, several, ["x_anchor"], "x_kinds").select("x_anchor", "x_passage", "x_n", "x_kinds", "x_one.*")
     wanted = unlike.groupBy("x_id").agg(F.collect_list(F.struct("x_first", "x_last", "x_anchor", "x_n", "x_kinds")).alias("x_want"))  # as many as a text has stretches at most
     wanted = materialise(wanted, "wanted")
     held = only(long, wanted).join(wanted, "x_id")
@@ -388,7 +388,11 @@ def hashed_repeats(bodies: DataFrame, length: int) -> DataFrame:
 
 
 def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``. Null counts as empty; texts under ``length`` bytes keep all."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``. Null counts as empty; texts under ``length`` bytes keep all.
+
+    Rows with the same text, repeated rows too, make each other's strings come again. Texts of any length are read whole, in parts that
+    overlap. Nothing depends on the key. No rows give no rows.
+    """
     return _cleaned(docs, key, text, length, gram, False)
 
 
