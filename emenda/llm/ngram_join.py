@@ -6,8 +6,9 @@
    hash of the path. Buckets over LIMIT are split again by further tokens; in small ones all signatures are compared by brute
    force, and a spanning tree of what may be alike is kept. Runs repeat until a pair at the threshold is met with the target recall at the
    depth that was needed. Buckets that are still large at the last depth are compared block by block.
-3. Trees join into families. In each family, by blocks, the sets themselves are compared, all with all, by products of incidence
-   matrices. That gives every link's ends their counts, and a spanning tree of true links, from which classes follow.
+3. Trees join into families. In each family the sets themselves are compared by products of incidence matrices: all with all in a small
+   one; a large one is cut into bands of set sizes, and those into blocks, and only blocks whose sizes allow a link meet.
+   That gives every link's ends their counts, and a spanning tree of true links, from which classes follow.
 """
 
 from __future__ import annotations
@@ -17,17 +18,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emenda.llm.common import keep_rows, materialise, row_mark, sized_broadcast, table_batches, to_python, utf8_parts, released
+from emenda.llm.common import HOT_KEY, keep_rows, materialise, released, row_mark, sized_broadcast, split_join, table_batches, to_python, utf8_parts
 
 THRESHOLD = 0.8
 SHINGLE = 5
 TOKENS = 48
 #: Buckets up to this size are compared by brute force.
 LIMIT = 4096
-#: Sets compared at once by the product of incidence matrices.
-BLOCK = 1024
+#: Sets, and hashes in them, of a block. Two blocks at most are compared at once by the product of incidence matrices.
+BLOCK, BLOCK_HASHES = 1024, 1 << 19
+#: Sets whose sizes are in bands that aren't neighbours can't reach the threshold. The bands are a little wider than they need be, for rounding.
+BAND = 1.0001 / THRESHOLD
 DEPTH = 4
 RECALL = 0.999
 FIRST_RUNS = 4
@@ -233,6 +237,13 @@ def _parts(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _met(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with a line for each key; vertices with very many neighbours apart from the others."""
+    if rows.count() <= HOT_KEY:
+        return rows.join(least, key)
+    return split_join(rows, materialise(least, "least"), [key], "x_n")
+
+
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     """x_sid, x_root for each end of ``edges`` (x_a, x_b): alternating large-star and small-star steps until nothing changes.
 
@@ -242,12 +253,12 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     before = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("x_b").alias("x_a"), F.col("x_a").alias("x_b")))
-        least = both.groupBy("x_a").agg(F.min("x_b").alias("x_m")).select("x_a", F.least("x_a", "x_m").alias("x_m"))
-        large = both.join(least, "x_a").where("x_b > x_a").select(F.col("x_m").alias("x_a"), "x_b").where("x_a <> x_b").distinct()
+        least = both.groupBy("x_a").agg(F.min("x_b").alias("x_m"), F.count(F.lit(1)).alias("x_n")).select("x_a", F.least("x_a", "x_m").alias("x_m"), "x_n")
+        large = _met(both, least, "x_a").where("x_b > x_a").select(F.col("x_m").alias("x_a"), "x_b").where("x_a <> x_b").distinct()
         large = materialise(large, "large")
         # small star: each vertex's smaller neighbours and itself go to the smallest of them
-        least = large.groupBy("x_b").agg(F.min("x_a").alias("x_m"))
-        small = large.join(least, "x_b").select(F.col("x_m").alias("x_l"), F.explode(F.array("x_a", "x_b")).alias("x_r"))
+        least = large.groupBy("x_b").agg(F.min("x_a").alias("x_m"), F.count(F.lit(1)).alias("x_n"))
+        small = _met(large, least, "x_b").select(F.col("x_m").alias("x_l"), F.explode(F.array("x_a", "x_b")).alias("x_r"))
         edges = materialise(small.where("x_l <> x_r").select(F.col("x_l").alias("x_a"), F.col("x_r").alias("x_b")).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x_a", "x_b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -328,6 +339,34 @@ def exact_links(members: DataFrame) -> DataFrame:
     return members.select(*keys, "x_k", "x_sid", "x_weight", "x_set").repartition(parts, *keys).sortWithinPartitions(*keys, "x_sid").mapInArrow(released(run), "x_sid binary, x_links long, x_to binary")
 
 
+def placed_in_blocks(sized: DataFrame) -> DataFrame:
+    """x_root, x_i, x_j, x_k, x_sid, x_weight for each pair of blocks (x_i, x_j) in which a set of block x_k is compared. ``sized``: x_sid, x_root, x_weight, x_hashes."""
+    full = lambda: F.ceil(F.greatest(F.col("x_n") / BLOCK, F.col("x_sum") / BLOCK_HASHES)).cast("int")
+    tally = (F.count(F.lit(1)).alias("x_n"), F.sum("x_hashes").alias("x_sum"))
+    whole = materialise(sized.groupBy("x_root").agg(*tally).withColumn("x_full", full()), "whole")
+    rows = materialise(split_join(sized, whole, ["x_root"], "x_n").select("x_sid", "x_root", "x_weight", "x_hashes", "x_full"), "placed")
+    one = rows.where("x_full = 1").select("x_root", F.lit(0).cast("long").alias("x_i"), F.lit(0).cast("long").alias("x_j"), F.lit(0).cast("long").alias("x_k"), "x_sid", "x_weight")
+    rows = rows.where("x_full > 1").withColumn("x_band", F.floor(F.log(F.greatest("x_hashes", F.lit(1)).cast("double")) / float(np.log(BAND))).cast("int"))
+    if not rows.limit(1).count():
+        return one
+    bands = rows.groupBy("x_root", "x_band").agg(*tally).withColumn("x_full", full())
+    by = W.partitionBy("x_root").orderBy("x_band")  # a family has as many bands as orders of size at most
+    beside = lambda f, step: F.when(f("x_band").over(by) == F.col("x_band") + step, f("x_full").over(by)).otherwise(0)
+    bands = materialise(bands.select("x_root", "x_band", "x_n", F.col("x_full").alias("x_own"), beside(F.lag, -1).alias("x_less"), beside(F.lead, 1).alias("x_more")), "bands")
+    rows = split_join(rows.drop("x_full"), bands, ["x_root", "x_band"], "x_n")
+    number = lambda band, k: band.cast("long") * (1 << 24) + k
+    to = lambda size: F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    k, band = F.pmod(F.xxhash64("x_sid"), F.col("x_own")).cast("int"), F.col("x_band")
+    pair = lambda a, b: F.struct(a.alias("x_i"), b.alias("x_j"))
+    pairs = F.concat(
+        F.transform(to(F.col("x_own")), lambda j: pair(number(band, F.least(k, j)), number(band, F.greatest(k, j)))),
+        F.transform(to(F.col("x_less")), lambda j: pair(number(band - 1, j), number(band, k))),
+        F.transform(to(F.col("x_more")), lambda j: pair(number(band, k), number(band + 1, j))),
+    )
+    many = rows.select("x_root", number(band, k).alias("x_k"), "x_sid", "x_weight", F.explode(pairs).alias("x")).select("x_root", "x.x_i", "x.x_j", "x_k", "x_sid", "x_weight")
+    return one.unionByName(many)
+
+
 def _shared(every: np.ndarray, size: np.ndarray, wide: int = 1 << 22) -> np.ndarray:
     """How many hashes each two sets share: products of 0/1 matrices over hashes that at least two sets have, some columns at a time."""
     n = len(size)
@@ -364,7 +403,6 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = materialise(with_words.groupBy("x_sid").agg(F.max("x_sig").alias("x_sig"), F.count(F.lit(1)).alias("x_weight"), F.min(F.struct(F.col("x_key").isNull().alias("x_null"), "x_key", "x_mark")).alias("x_first")), "classes")
     near = materialise(families(classes), "families")
     found = materialise(near.join(classes.select("x_sid", "x_weight", "x_first"), "x_sid"), "found")
-    sizes = found.groupBy("x_root").agg(F.count(F.lit(1)).alias("x_n"))
 
     names = sized_broadcast(materialise(found.select("x_sid", F.col("x_first.x_key").alias("x_key"), F.col("x_first.x_mark").alias("x_mark")), "names"))
     own = docs.select(F.col(key).alias("x_key"), row_mark(docs).alias("x_mark"), F.col(text).alias("x_text")).alias("d")
@@ -377,11 +415,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["x_sid", "x_set"])
 
     sets = materialise(texts.mapInArrow(released(shingled), "x_sid binary, x_set binary"), "sets")
-    blocks = F.ceil(F.col("x_n") / BLOCK).cast("int")
-    placed = found.join(sizes, "x_root").withColumn("x_k", F.pmod(F.xxhash64("x_sid"), blocks).cast("int")).withColumn("x_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("x_root", F.least("x_k", "x_j").alias("x_i"), F.greatest("x_k", "x_j").alias("x_j"), "x_k", "x_sid", "x_weight", "x_n")
     # rows equal throughout share a mark: one of them is enough here
-    placed = placed.join(sets.dropDuplicates(["x_sid"]), "x_sid")
+    sets = materialise(sets.dropDuplicates(["x_sid"]), "distinct")
+    sized = materialise(found.select("x_sid", "x_root", "x_weight").join(sets.select("x_sid", (F.octet_length("x_set") / 8).cast("long").alias("x_hashes")), "x_sid"), "sized")
+    placed = placed_in_blocks(sized).join(sets, "x_sid")
     linked = materialise(exact_links(placed), "linked")
     counts = linked.groupBy("x_sid").agg(F.sum("x_links").alias("x_links"), F.count(F.lit(1)).alias("x_n"), F.min("x_to").alias("x_to"))
     counts = materialise(counts, "counts")

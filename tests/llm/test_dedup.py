@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from emenda.llm import exact_dedup, ngram_join, suffix_dedup
+from emenda.llm import common, exact_dedup, ngram_join, queries, suffix_dedup
 
 
 def test_fuse_filter_has_no_false_negatives():
@@ -108,6 +108,30 @@ def test_join_splits_large_buckets(spark, monkeypatch):
     assert got == {k: (n, 60) for k, n in enumerate(links)}
 
 
+def test_join_of_families_in_bands(spark, monkeypatch):
+    """A chain from short to long texts is one family; its bands and blocks lose no link, and hot vertices are joined apart."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK_HASHES", 900)
+    monkeypatch.setattr(ngram_join, "HOT_KEY", 10)
+    monkeypatch.setattr(common, "HOT_KEY", 10)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[: 40 + 5 * k]) for k in range(60)] + [" ".join(words[: 60 + 7 * k]) + " end" for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, roots = jaccard_truth(texts)
+    size = collections.Counter(roots)
+    got = {r.doc_id: (r.class_id, r.n_links, r.class_size) for r in ngram_join.join_report(docs).collect()}
+    assert got == {k: (roots[k], n, size[roots[k]]) for k, n in enumerate(links)}
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEY", 5)
+    rows = spark.createDataFrame([(k % 3 if k < 60 else k, k) for k in range(90)], "a int, v int")
+    side = rows.groupBy("a").count().where("count > 1 OR a = 70")
+    for how in ("inner", "left_semi"):
+        want = sorted(map(tuple, rows.join(side, "a", how).collect()))
+        assert sorted(map(tuple, common.split_join(rows, side, ["a"], "count", how).collect())) == want
+
+
 @pytest.mark.parametrize("hot", [2048, 1])
 def test_suffixes_against_brute_force(spark, messy, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
@@ -160,5 +184,29 @@ def test_suffix_order():
         assert sorted(order.tolist()) == start.tolist() and found == sorted(found)
 
 
+def test_suffixes_on_all_documents(spark):
+    """The whole table at the length of the contract: every 400-byte string of every row, by counting."""
+    sf = "/root/testdata/sf0.01"
+    rows = common.read_table(spark, sf, "documents").select("doc_id", "text").collect()
+    n, seen = 400, {}
+    for r in rows:
+        b = (r.text or "").encode()
+        for k in range(len(b) - n + 1):
+            h = hash(b[k : k + n])
+            seen[h] = seen.get(h, 0) + 1
+    want = {}
+    for r in rows:
+        b = (r.text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - n + 1):
+            if seen[hash(b[k : k + n])] > 1:
+                gone[k : k + n] = b"\1" * n
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        want[r.doc_id] = (len(b), len(b) - len(left), len([p for p in bytes(gone).split(b"\0") if p]), hashlib.sha256(left).hexdigest())
+    assert sum(v[1] > 0 for v in want.values()) > 100
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op7_suffix_array_dedup(spark, sf).collect()}
+    assert got == want
+
+
 def test_suffixes_of_nothing(empty):
     assert suffix_dedup.dedup_report(empty).count() == 0
