@@ -12,15 +12,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emenda.llm.common import hashed_sample, held_out, table_batches, to_python, utf8_parts, released
+from emenda.llm.common import held_out, released, sample_bound, table_batches, to_python, utf8_parts
 
 WINDOW = 256
 FILTERS = 8
 WIDTHS = (2, 3, 4)
-#: The network is fitted on at most so many windows, one from each of so many documents, chosen by a hash of the key.
+#: The network is fitted on at most so many windows, one from each of so many documents, chosen by a hash of the key,
+#: in equal numbers for each label.
 TRAINING_WINDOWS = 6_000
+#: Labels that are learnt at most.
+LABELS = 512
 EPOCHS = 8
 NONE = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -122,14 +126,22 @@ class ByteNet:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", most: int = TRAINING_WINDOWS) -> ByteNet | None:
     """A network for the labels of rows that aren't held out; None if there are none.
 
-    Each of at most ``most`` documents gives one stretch of text from a place given by a hash, so that beginnings don't weigh more.
+    The sample is bounded for each label, so that a rare language is learnt from as many rows on a large table as on a small one; at most
+    LABELS labels, the most frequent ones, are learnt. Each document gives one stretch of text from a place given by a hash, so that
+    beginnings don't weigh more.
     """
     usable = docs.where(~held_out(F.col(key)) & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = F.xxhash64(F.lit(5), F.col(key), F.length(text))
     start = F.pmod(F.xxhash64(F.lit(6), F.col(key)), F.greatest(F.length(text) - WINDOW + 1, F.lit(1))) + 1
-    count = docs.where(~held_out(F.col(key)) & F.col(label).isNotNull()).count()
-    rows = hashed_sample(usable.withColumn("x_o", order), "x_o", most, count)
-    rows = rows.select(F.shiftrightunsigned("x_o", 33).alias("o"), F.col(label).alias("y"), F.col(text).substr(start.cast("int"), F.lit(WINDOW)).alias("x")).orderBy("o", "y", "x").limit(most).collect()
+    counts = docs.where(~held_out(F.col(key)) & F.col(label).isNotNull()).groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.orderBy(F.desc("n"), "y").limit(LABELS).collect()
+    if not counts:
+        return None
+    each = most // len(counts)
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], sample_bound(each, r["n"]))])
+    rows = usable.withColumn("x_o", F.shiftrightunsigned(order, 33)).where(F.col("x_o") < F.try_element_at(below, F.col(label)))
+    rows = rows.select(F.col("x_o").alias("o"), F.col(label).alias("y"), F.col(text).substr(start.cast("int"), F.lit(WINDOW)).alias("x"))
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("o", "x"))).where(F.col("k") <= each).orderBy("o", "y", "x").collect()
     labels = sorted({r["y"] for r in rows})
     if not labels:
         return None
@@ -145,6 +157,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return net
 
 
+def has_letters(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter."""
+    hits = np.concatenate([[0], np.cumsum(ASCII_LETTERS[raw], dtype=np.int64)])
+    letters = hits[offsets[1:]] > hits[offsets[:-1]]
+    for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
+        letters[i] = bool(LETTER.search(raw[offsets[i] : offsets[i + 1]].tobytes().decode()))
+    return letters
+
+
 def read_texts(model: ByteNet | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The label and its probability for each text of an Arrow column."""
     raw, offsets = utf8_parts(column)
@@ -152,10 +173,7 @@ def read_texts(model: ByteNet | None, column: pa.Array) -> tuple[np.ndarray, np.
     lang, score = np.full(n, NONE, object), np.zeros(n)
     if model is None or not len(raw):
         return lang, score
-    hits = np.concatenate([[0], np.cumsum(ASCII_LETTERS[raw], dtype=np.int64)])
-    letters = hits[offsets[1:]] > hits[offsets[:-1]]
-    for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
-        letters[i] = bool(LETTER.search(raw[offsets[i] : offsets[i + 1]].tobytes().decode()))
+    letters = has_letters(raw, offsets)
     x, owner, length = windows(raw, offsets)
     p = model.probabilities(x) * length[:, None]
     first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -170,7 +188,8 @@ def read_texts(model: ByteNet | None, column: pa.Array) -> tuple[np.ndarray, np.
 def predict(docs: DataFrame, net: ByteNet | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``.
 
-    Null texts, texts without any letter, and all texts if nothing could be learnt, get ``und`` and score 0. Whole texts are read.
+    Null texts, texts without any letter, and all texts if nothing could be learnt, get ``und`` and score 0. Whole texts are read, in
+    windows, whatever their length. Repeated rows and keys get a row each with the same values. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -191,7 +210,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """The documents in which a language was found, all columns as they were; a null ``lang`` is filled with the one found.
 
-    Only documents without any letter are rejected, or all if there are no labels to learn from; texts don't leave their rows.
+    Only documents without any letter are rejected; without labels to learn from, a null ``lang`` stays null. Texts don't leave their rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, key, text, label))
     names = docs.columns
@@ -201,9 +220,11 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     def run(batches):
         for batch in table_batches(batches, 2 << 20):
             lang, _ = read_texts(shared.value, batch.column(at))
+            letters = has_letters(*utf8_parts(batch.column(at)))
+            lang[lang == NONE] = None
             given = batch.column(put)
             filled = pc.coalesce(given, pa.array(lang, pa.string()).cast(given.type))
             columns = [filled if i == put else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(lang != NONE))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(letters))
 
     return to_python(inner).mapInArrow(released(run), inner.schema).toDF(*names)
