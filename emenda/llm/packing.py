@@ -9,13 +9,17 @@ finds its place by its length and its rank among pieces of that length.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,29 +32,33 @@ VOCABULARY = "word_bpe_49k.json"
 #: Ranks within a length are counted in so many parts, so that no task gets all pieces of a common length.
 PARTS = 256
 #: Words kept with their ids by each worker; beyond it the cache starts afresh.
-CACHED = 250_000
+CACHED = 400_000
 _LONG = 64
-_GROUP = 256
+#: Letters (to be confirmed) and ASCII marks; special tokens have a bar, and their case counts.
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{}~]+)")
 
 
 class WordIds:
-    """Token ids of whole texts, as bytes of little-endian unsigned 32-bit numbers.
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its parts between spaces and line feeds.
-    It also parts letters and digits from the marks after them and ignores case, so a part is looked up without its last mark and in lower case. What
-    a batch of texts has and the cache has not is encoded in few calls: words of letters alone are joined by spaces, and as each ends with an
-    end-of-word token and has no other, the ids fall apart into words again; a group with another count is encoded word by word.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its parts between spaces and line feeds. Arrow
+    numbers a batch's different parts; only those are looked up, and numpy copies ids to their places.
+    The tokenizer also parts letters from the marks after them and ignores case, so a part of letters and ASCII marks is a word and its marks, and
+    a plain word is looked up in lower case. What the table hasn't yet is encoded: plain words by the model itself, the rest by the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {"": b""}, {"": b""}
-        suffix = self.tokenizer.model.end_of_word_suffix
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words."""
+        self.number = {"": 0}
+        self.ids, self.start, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used, self.known = 0, 1
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -61,39 +69,65 @@ class WordIds:
 
     @staticmethod
     def _word(part: str) -> tuple[str, str]:
-        if not part.isascii() or "|" in part:  # special tokens have a bar, and their case counts
+        if part.isalpha():
+            return (part.lower() if part.isascii() else part), ""
+        found = _MARKED.fullmatch(part)
+        if not found:
             return part, ""
-        part = part.lower()
-        return (part[:-1], part[-1]) if len(part) > 1 and part[-1] in ".,!?;:" and part[-2].isalnum() else (part, "")
+        word, marks = found.groups()
+        if word.isascii():
+            return word.lower(), marks
+        # a letter may end in a mark once it is composed and in lower case, which then belongs to the marks after it
+        return (word, marks) if word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha() else (part, "")
+
+    def _learn(self, words: list[str]) -> None:
+        """Enter words that aren't known."""
+        plain = [w for w in words if w.isascii() and w.isalpha()]  # they stand in lower case, and their bytes are letters of the model
+        rest = [w for w in words if not (w.isascii() and w.isalpha())]
+        model = self.tokenizer.model
+        new = [[t.id for t in model.tokenize(w)] for w in plain]
+        new += [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        size = np.array([len(x) for x in new], np.int64)
+        total = int(size.sum())
+        self.ids = _with_room(self.ids, self.used + total)
+        self.start, self.size = (_with_room(x, self.known + len(new)) for x in (self.start, self.size))
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(new), "<u4", total)
+        self.start[self.known : self.known + len(new)] = self.used + np.cumsum(size) - size
+        self.size[self.known : self.known + len(new)] = size
+        self.number.update(zip([*plain, *rest], range(self.known, self.known + len(new)), strict=True))
+        self.used, self.known = self.used + total, self.known + len(new)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin (one entry more than texts). Null counts as empty."""
+        if len(self.number) > CACHED or self.used > 16 * CACHED:
+            self.clear()
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = list(itertools.chain.from_iterable(map(self._word, coded.dictionary.to_pylist())))
+        new = list({w for w in words if w not in self.number})
+        if new:
+            self._learn(new)
+        both = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)).reshape(-1, 2)
+        code = both[coded.indices.to_numpy()].ravel()
+        size = self.size[code]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.start[code] - ends + size, size) + np.arange(total)]
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        offsets = np.concatenate([[0], ends])[2 * bounds]
+        for w in new:  # long ones hardly come again
+            if len(w) > _LONG:
+                del self.number[w]
+        return ids, offsets
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > CACHED:
-            self.words, self.parts = {"": b""}, {"": b""}
-        words, parts = self.words, self.parts
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {p: self._word(p) for p in {p for row in rows for p in row if p not in parts}}
-        unseen = [w for w in {w for pair in new.values() for w in pair} if w not in words]
-        letters = [w for w in unseen if w.isalpha()] if self.ends.any() else []
-        groups = [letters[k : k + _GROUP] for k in range(0, len(letters), _GROUP)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) == len(group):
-                raw, at = ids.tobytes(), 0
-                for w, stop in zip(group, stops.tolist(), strict=True):
-                    words[w] = raw[at:stop]
-                    at = stop
-        rest = [w for w in unseen if w not in words]
-        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            words[w] = np.array(found.ids, "<u4").tobytes()
-        for p, (w, mark) in new.items():
-            parts[p] = words[w] + words[mark] if mark else words[w]
-        out = [b"".join([parts[p] for p in row]) for row in rows]
-        for p, (w, _) in new.items():  # long ones hardly come again
-            if len(p) > _LONG:
-                del parts[p]
-                words.pop(w, None)
-        return out
+        ids, offsets = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _with_room(x: np.ndarray, size: int) -> np.ndarray:
+    """``x``, copied to twice the room that is needed if it has too little."""
+    return x if len(x) >= size else np.concatenate([x, np.zeros(2 * size - len(x), x.dtype)])
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -101,19 +135,25 @@ _LOADED: dict[str, WordIds] = {}
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece: a document's ids and then id 1, cut only where longer than ``limit``."""
-    path, end = path or public_tokenizers.path(VOCABULARY), np.array([END], "<u4").tobytes()
+    path = path or public_tokenizers.path(VOCABULARY)
+    last = np.array([END], "<u4").tobytes()
 
     def cut(batches):
         encode = WordIds.of(path)
         for batch in table_batches(batches, 2 << 20):
-            out = [[], [], [], [], []]
-            for name, own in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids = own + end
-                for k, at in enumerate(range(0, len(ids), 4 * limit)):
-                    part = ids[at : at + 4 * limit]
-                    for column, v in zip(out, (name, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, offsets = encode.column(batch.column(1))
+            size = np.diff(offsets) + 1
+            each = -(-size // limit)
+            owner = np.repeat(np.arange(len(size)), each)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+            start = nth * limit
+            length = np.minimum(limit, size[owner] - start)
+            raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), (offsets[owner] + start) * 4
+            # a document's last piece ends with the end id
+            ends = nth == each[owner] - 1
+            till = at + (length - ends) * 4
+            crc = [zlib.crc32(last, zlib.crc32(raw[a:b])) if e else zlib.crc32(raw[a:b]) for a, b, e in zip(at.tolist(), till.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(nth, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     return to_python(docs).select(key, text).mapInArrow(released(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
