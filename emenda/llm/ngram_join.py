@@ -29,7 +29,9 @@ TOKENS = 48
 #: Buckets up to this size are compared by brute force.
 LIMIT = 4096
 #: Sets, and hashes in them, of a block. Two blocks at most are compared at once by the product of incidence matrices.
-BLOCK, BLOCK_HASHES = 1024, 1 << 19
+BLOCK, BLOCK_HASHES = 1024, 1 << 20
+#: Families of more blocks than this are cut into bands first; in smaller ones all blocks meet, which copies fewer sets.
+BANDED = 4
 #: Sets whose sizes are in bands that aren't neighbours can't reach the threshold. The bands are a little wider than they need be, for rounding.
 BAND = 1.0001 / THRESHOLD
 DEPTH = 4
@@ -341,22 +343,25 @@ def exact_links(members: DataFrame) -> DataFrame:
 
 def placed_in_blocks(sized: DataFrame) -> DataFrame:
     """x_root, x_i, x_j, x_k, x_sid, x_weight for each pair of blocks (x_i, x_j) in which a set of block x_k is compared. ``sized``: x_sid, x_root, x_weight, x_hashes."""
-    full = lambda: F.ceil(F.greatest(F.col("x_n") / BLOCK, F.col("x_sum") / BLOCK_HASHES)).cast("int")
+    full = lambda: F.ceil(F.greatest(F.col("x_n") / BLOCK, F.col("x_sum") / BLOCK_HASHES)).cast("long")
     tally = (F.count(F.lit(1)).alias("x_n"), F.sum("x_hashes").alias("x_sum"))
     whole = materialise(sized.groupBy("x_root").agg(*tally).withColumn("x_full", full()), "whole")
     rows = materialise(split_join(sized, whole, ["x_root"], "x_n").select("x_sid", "x_root", "x_weight", "x_hashes", "x_full"), "placed")
-    one = rows.where("x_full = 1").select("x_root", F.lit(0).cast("long").alias("x_i"), F.lit(0).cast("long").alias("x_j"), F.lit(0).cast("long").alias("x_k"), "x_sid", "x_weight")
-    rows = rows.where("x_full > 1").withColumn("x_band", F.floor(F.log(F.greatest("x_hashes", F.lit(1)).cast("double")) / float(np.log(BAND))).cast("int"))
+    # all blocks of a small family meet
+    block = F.pmod(F.xxhash64("x_sid"), F.col("x_full"))
+    few = rows.where(F.col("x_full") <= BANDED).select("x_root", block.alias("x_k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_full") - 1)).alias("x_j"), "x_sid", "x_weight")
+    few = few.select("x_root", F.least("x_k", "x_j").alias("x_i"), F.greatest("x_k", "x_j").alias("x_j"), "x_k", "x_sid", "x_weight")
+    rows = rows.where(F.col("x_full") > BANDED).withColumn("x_band", F.floor(F.log(F.greatest("x_hashes", F.lit(1)).cast("double")) / float(np.log(BAND))).cast("int"))
     if not rows.limit(1).count():
-        return one
+        return few
     bands = rows.groupBy("x_root", "x_band").agg(*tally).withColumn("x_full", full())
     by = W.partitionBy("x_root").orderBy("x_band")  # a family has as many bands as orders of size at most
     beside = lambda f, step: F.when(f("x_band").over(by) == F.col("x_band") + step, f("x_full").over(by)).otherwise(0)
     bands = materialise(bands.select("x_root", "x_band", "x_n", F.col("x_full").alias("x_own"), beside(F.lag, -1).alias("x_less"), beside(F.lead, 1).alias("x_more")), "bands")
     rows = split_join(rows.drop("x_full"), bands, ["x_root", "x_band"], "x_n")
     number = lambda band, k: band.cast("long") * (1 << 24) + k
-    to = lambda size: F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    k, band = F.pmod(F.xxhash64("x_sid"), F.col("x_own")).cast("int"), F.col("x_band")
+    to = lambda size: F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
+    k, band = F.pmod(F.xxhash64("x_sid"), F.col("x_own")), F.col("x_band")
     pair = lambda a, b: F.struct(a.alias("x_i"), b.alias("x_j"))
     pairs = F.concat(
         F.transform(to(F.col("x_own")), lambda j: pair(number(band, F.least(k, j)), number(band, F.greatest(k, j)))),
@@ -364,7 +369,7 @@ def placed_in_blocks(sized: DataFrame) -> DataFrame:
         F.transform(to(F.col("x_more")), lambda j: pair(number(band, k), number(band + 1, j))),
     )
     many = rows.select("x_root", number(band, k).alias("x_k"), "x_sid", "x_weight", F.explode(pairs).alias("x")).select("x_root", "x.x_i", "x.x_j", "x_k", "x_sid", "x_weight")
-    return one.unionByName(many)
+    return few.unionByName(many)
 
 
 def _shared(every: np.ndarray, size: np.ndarray, wide: int = 1 << 22) -> np.ndarray:
@@ -412,13 +417,12 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         shingles = Shingler()
         for batch in table_batches(batches, 2 << 20):
             sets = shingles(*utf8_parts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["x_sid", "x_set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["x_sid", "x_set", "x_hashes"])
 
-    sets = materialise(texts.mapInArrow(released(shingled), "x_sid binary, x_set binary"), "sets")
+    sets = materialise(texts.mapInArrow(released(shingled), "x_sid binary, x_set binary, x_hashes long"), "sets")
     # rows equal throughout share a mark: one of them is enough here
-    sets = materialise(sets.dropDuplicates(["x_sid"]), "distinct")
-    sized = materialise(found.select("x_sid", "x_root", "x_weight").join(sets.select("x_sid", (F.octet_length("x_set") / 8).cast("long").alias("x_hashes")), "x_sid"), "sized")
-    placed = placed_in_blocks(sized).join(sets, "x_sid")
+    sized = materialise(found.select("x_sid", "x_root", "x_weight").join(sets.select("x_sid", "x_hashes").distinct(), "x_sid"), "sized")
+    placed = placed_in_blocks(sized).join(sets.select("x_sid", "x_set").dropDuplicates(["x_sid"]), "x_sid")
     linked = materialise(exact_links(placed), "linked")
     counts = linked.groupBy("x_sid").agg(F.sum("x_links").alias("x_links"), F.count(F.lit(1)).alias("x_n"), F.min("x_to").alias("x_to"))
     counts = materialise(counts, "counts")

@@ -108,8 +108,10 @@ def test_join_splits_large_buckets(spark, monkeypatch):
     assert got == {k: (n, 60) for k, n in enumerate(links)}
 
 
-def test_join_of_families_in_bands(spark, monkeypatch):
+@pytest.mark.parametrize("banded", [0, 4, 1000])
+def test_join_of_families_in_bands(spark, monkeypatch, banded):
     """A chain from short to long texts is one family; its bands and blocks lose no link, and hot vertices are joined apart."""
+    monkeypatch.setattr(ngram_join, "BANDED", banded)
     monkeypatch.setattr(ngram_join, "BLOCK", 6)
     monkeypatch.setattr(ngram_join, "BLOCK_HASHES", 900)
     monkeypatch.setattr(ngram_join, "HOT_KEY", 10)
