@@ -1,6 +1,6 @@
 """Personal data: patterns, and information-theoretic sanitisation, by DataFrame operations only.
 
-Patterns find protected entities (e-mail and IP addresses, card and phone numbers). How strongly a term reveals one is estimated
+Patterns find protected entities (e-mail and IP addresses, card and phone numbers, and keys or tokens, which the method adds). How strongly a term reveals one is estimated
 from the corpus: PMI(entity; term) = ln(N * df(entity, term) / (df(entity) * df(term))), against the entity's information
 IC(entity) = -ln(df(entity) / N). df counts whole texts. A term discloses an entity if PMI >= DISCLOSURE * IC and it has SUPPORT: texts
 in which the entity has at least so many different sets of contexts, or so many different contexts close to it; all its occurrences in the corpus are then spans of kind ``term``, to be generalised with the rest.
@@ -19,7 +19,8 @@ SUPPORT = 2
 NEAR, WIDE = 64, 256
 CHUNK = 64
 WORD = r"\p{L}{3,}"
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+SECRET_KIND, TERM_KIND = 4, 5
 #: The patterns in forms that Java matches without recursion or rescanning. Starts in the middle of a run of the first class can't
 #: match where the run's start didn't, unless an earlier match ends there.
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -27,6 +28,8 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++\.{_LABEL}(?:(?!\.(?!{_LABEL
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 CARD = r"[0-9](?:(?![\x20-](?![0-9]))[0-9\x20-])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: Keys and tokens: long runs of letters and three digits or more. No word of a language looks so, so each is an entity of its own.
+SECRET = r"(?<![A-Za-z0-9])(?:(?:sk|pk|rk|gh[opsu]|xox[abp])[_-](?:live_|test_)?)?[A-Za-z0-9]{20,}+"
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])$"
 
 
@@ -85,6 +88,20 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
+def entity_spans(text: Column) -> Column:
+    """The base spans, and secrets that overlap none of them."""
+    shape = "array<struct<s:int,k:int,e:int,v:string>>"
+    keyed = lambda x: x["v"].rlike("(?:[0-9][^0-9]*){3}") & x["v"].rlike("[A-Za-z]")
+    found = F.transform(F.filter(positions(text, F.lit(SECRET)), keyed), lambda x: F.struct(x["s"].alias("s"), F.lit(SECRET_KIND).alias("k"), x["e"].alias("e"), x["v"].alias("v"))).cast(shape)
+    secrets = F.when(text.rlike(r"[A-Za-z0-9]{20}"), found).otherwise(F.array().cast(shape))
+
+    def both(z):
+        free = F.filter(z["secrets"], lambda x: ~F.exists(z["base"], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        return F.array_sort(F.concat(z["base"], free))
+
+    return F.element_at(F.transform(F.array(F.struct(base_spans(text).alias("base"), secrets.alias("secrets"))), both), 1)
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
@@ -151,7 +168,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
         F.col("x_base"),
         lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"), F.concat(head(x), window(x), F.lit(" "), after(x), tail(x)).alias("near"), F.xxhash64(F.concat(window(x), F.lit(" "), after(x))).alias("context")),
     )
-    seen = named.withColumn("x_base", base_spans(F.col("x_text"))).select("x_key", "x_sha", spans.alias("x_spans"))
+    seen = named.withColumn("x_base", entity_spans(F.col("x_text"))).select("x_key", "x_sha", spans.alias("x_spans"))
     seen = materialise(seen, "seen")
     terms = materialise(disclosing_terms(seen, once(named, seen)), "terms")
     if not terms.limit(1).count():
@@ -176,12 +193,16 @@ def _count(kind: int) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term for each row of documents."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term for each row of documents.
+
+    Null counts as empty. Texts of any length are searched whole. Repeated rows and equal texts get equal values; no rows give no rows.
+    """
     rows, _ = find(docs)
     number = [_count(k).alias(f"n_{n}") for k, n in enumerate(KINDS[:4])]
     bare = F.transform("x_spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    term = F.transform("x_terms", lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e")))
-    return rows.select(F.col("x_key").alias("doc_id"), *number, F.sha2(_listed(bare).cast("binary"), 256).alias("base_sha256"), _listed(F.array_sort(F.concat(bare, term))).alias("spans"), F.size("x_terms").cast("long").alias("n_term"))
+    base = F.filter(bare, lambda x: x["k"] < SECRET_KIND)
+    term = F.transform("x_terms", lambda x: F.struct(x["s"].alias("s"), F.lit(TERM_KIND).alias("k"), x["e"].alias("e")))
+    return rows.select(F.col("x_key").alias("doc_id"), *number, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.array_sort(F.concat(bare, term))).alias("spans"), _count(SECRET_KIND).alias("n_secret"), F.size("x_terms").cast("long").alias("n_term"))
 
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +210,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows, _ = find(docs, key, text)
     names = docs.columns
     spans = rows.groupBy("x_sha").agg(F.first("x_spans").alias("x_spans"), F.first("x_terms").alias("x_terms")).where((F.size("x_spans") > 0) | (F.size("x_terms") > 0))
-    every = F.array_sort(F.concat(F.transform("x_spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))), F.transform("x_terms", lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e")))))
+    every = F.array_sort(F.concat(F.transform("x_spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))), F.transform("x_terms", lambda x: F.struct(x["s"].alias("s"), F.lit(TERM_KIND).alias("k"), x["e"].alias("e")))))
     spans = materialise(spans.select("x_sha", every.alias("x_every")), "spans")
     inner = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).withColumn("x_sha", F.sha2(F.coalesce(F.col(f"c{names.index(text)}"), F.lit("")).cast("binary"), 256))
     body = F.col(f"c{names.index(text)}")

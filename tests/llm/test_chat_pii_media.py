@@ -80,10 +80,19 @@ def test_base_spans_against_brute_force(spark):
         want, r = spans_of(t), got[k]
         listed = ",".join(f"{n}:{a}:{b}" for a, _, n, b in want)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
-        assert ",".join(p for p in r.spans.split(",") if not p.startswith("term")) == listed
+        assert ",".join(p for p in r.spans.split(",") if not p.startswith(("term", "secret"))) == listed
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[1] == i for x in want) for i in range(4)]
 
 
+def test_secrets(spark):
+    key, digest = "sk_live_" + "a1b2c3d4" * 3, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'token = "{digest}" and {key}.', "Donaudampfschifffahrtsgesellschaft covid-19-vaccination-report-2021 my_long_function_name_2", "9" * 40, f"x{digest}@example.com", f"é😀{digest}😀"]
+    got = [r.spans for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["secret:9:49,secret:55:87", "", "", "email:0:53", "secret:2:42"]
+    clean = pii.sanitised(spark.createDataFrame([(0, texts[0])], "doc_id long, text string")).first().text
+    assert clean == 'token = "<SECRET>" and <SECRET>.'
+
+
 def test_terms_that_disclose(spark):
     rows = [(i, f"notes with zorblatt here mail john@corp.example.com now {i}") for i in range(6)] + [(100 + i, f"ordinary notes with here now {i} mail") for i in range(200)] + [(999, "who is Zorblatt then? zorblatts"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
