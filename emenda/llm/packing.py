@@ -32,7 +32,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Ranks within a length are counted in so many parts, so that no task gets all pieces of a common length.
 PARTS = 256
 #: Words kept with their ids by each worker; beyond it the cache starts afresh.
-CACHED = 400_000
+CACHED = 250_000
 _LONG = 64
 #: Letters (to be confirmed) and ASCII marks; special tokens have a bar, and their case counts.
 _MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{}~]+)")
