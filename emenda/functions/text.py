@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ TOKEN_SQL = r"\p{L}+(?:['’]\p{L}+)*|[0-9]+(?:[.,][0-9]+)*|[^\x09-\x0D\x20]"
 #: Titles and abbreviations after which a full stop doesn't end a sentence.
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "mt")
 ABBREVIATIONS = ("vs", "etc", "approx", "incl", "inc", "ltd", "co", "cf", "viz", "esp", "fig", "dept", "govt", "st", "jr", "sr", "corp", "intl", "bros", "ave", "blvd", "assn")
+#: A full stop leaves its sentence open if what stands around it (the letters glued to its left, after & if a stop is glued to a lone one; the stop; the
+#: gap and the token after it) has one of these shapes.
+OPEN = "^(?:" + "|".join((
+    rf"(?i:{'|'.join(TITLES)})\.",  # a title
+    r"&?\p{L}*\.\p{Ll}",  # inside a name such as that of a file
+    r"&?\p{L}\.\p{L}",  # letters with stops
+    # short forms, last letters of dotted ones and initials go on unless a capital follows in the same line
+    rf"(?:&\p{{L}}|[A-HJ-Z]|[^\P{{Lu}}A-Z]|(?i:{'|'.join(ABBREVIATIONS)}))\.[\x20\t]*(?:\z|[^\p{{Lu}}\x20\t])",
+)) + ")"
 CHUNK = 64
 
 
@@ -25,6 +36,26 @@ def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+def folded(values: Column, start: Column, step, shape: str) -> Column:
+    """What ``step`` gives for each element, in order, without nulls: step(state, x) is (new state, null or a struct of type ``shape``).
+
+    Results are gathered within chunks and then over chunks, so cost doesn't grow with the square of the length.
+    """
+    none, kind = F.array().cast(f"array<{shape}>"), start
+
+    def inner(acc, x):
+        state, found = step(acc["s"], x)
+        return F.struct(state.alias("s"), F.when(found.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], found)).alias("out"))
+
+    def outer(acc, chunk):
+        done = lambda y: F.struct(y["s"].alias("s"), F.array_append(acc["all"], y["out"]).alias("all"))
+        return let(F.aggregate(chunk, F.struct(acc["s"].alias("s"), none.alias("out")), inner), done)
+
+    starts = lambda v: F.sequence(F.lit(0), F.floor(F.size(v) / CHUNK).cast("int"))
+    chunks = lambda v: F.transform(starts(v), lambda k: F.slice(v, k * CHUNK + 1, CHUNK))
+    return let(values, lambda v: F.flatten(F.aggregate(chunks(v), F.struct(kind.alias("s"), F.array().cast(f"array<array<{shape}>>").alias("all")), outer)["all"]))
+
+
 def running(values: Column) -> Column:
     """Running totals of an array of numbers, as longs: sums within chunks, then over chunks, so cost doesn't grow with the square of the length."""
     zero = F.lit(0).cast("long")
@@ -83,83 +114,126 @@ def line_column(text: Column, offset: Column) -> Column:
     return F.struct((F.size(lines) - 1).alias("line"), utf16_length(F.element_at(lines, -1)).alias("character"))
 
 
+#: Below so much text for each core, rows are dealt out anew if the files are too few for all cores.
+SPREAD = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files over all cores. A table that has enough data for all cores keeps its own splits and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(4 * cores)
+
+
 def let(value: Column, then) -> Column:
     """``then`` of a value that is computed once: a column named in a lambda could be computed anew for every element when Spark merges projections."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def analysed(text: Column) -> Column:
-    """struct of arrays tok, gap (before each token and, last, after all), low, i, start, end, sent, para for a text that isn't null."""
-    none = F.array().cast("array<bigint>")
+def _at(z, name: str, i) -> Column:
+    return F.coalesce(F.get(z[name], i), F.lit(""))
 
-    def totals(values: Column) -> Column:
-        return F.when(F.size(values) > 0, running(values)).otherwise(none)
 
-    def found(z):
-        # a text without tokens has one gap and no tokens
-        both = F.zip_with(z["tok"], F.slice(z["gap"], 1, F.greatest(F.size(z["tok"]), F.lit(1))), lambda t, g: F.coalesce(F.length(t), F.lit(0)) + F.length(g))
-        ends = F.when(F.size(z["tok"]) > 0, running(both)).otherwise(none)
-        return let(F.struct(z["tok"].alias("tok"), z["gap"].alias("gap"), ends.alias("end")), placed)
+def ends_sentence(z, i) -> Column:
+    """Whether the sentence of token ``i`` ends with it; ``z`` holds arrays tok and gap."""
+    word = F.when(_at(z, "gap", i) == "", F.regexp_extract(_at(z, "tok", i - 1), r"(\p{L}+)$", 1)).otherwise(F.lit(""))
+    dotted = F.when((F.length(word) == 1) & (_at(z, "gap", i - 1) == "") & (_at(z, "tok", i - 2) == "."), F.lit("&")).otherwise(F.lit(""))
+    around = F.concat(dotted, word, F.lit("."), _at(z, "gap", i + 1), _at(z, "tok", i + 1))
+    mark = _at(z, "tok", i)
+    return F.when(mark == ".", ~around.rlike(OPEN)).otherwise(mark.isin("!", "?"))
 
-    def placed(z):
-        def at(name: str, i):
-            return F.coalesce(F.get(z[name], i), F.lit(""))
 
-        def ends_sentence(i):
-            before, after, gap = at("tok", i - 1), at("tok", i + 1), at("gap", i + 1)
-            word = F.when(at("gap", i) == "", F.regexp_extract(before, r"(\p{L}+)$", 1)).otherwise(F.lit(""))
-            low = F.lower(word)
-            one = F.length(word) == 1
-            glued = gap == ""
-            dotted = one & (at("gap", i - 1) == "") & (at("tok", i - 2) == ".") & (i > 1)
-            known = dotted | low.isin(*ABBREVIATIONS) | (one & (word != "I") & word.rlike(r"^\p{Lu}"))
-            capital_next = gap.rlike(r"^[\x20\t]*\z") & after.rlike(r"^\p{Lu}")
-            goes_on = (glued & after.rlike(r"^\p{Ll}")) | (one & glued & after.rlike(r"^\p{L}")) | low.isin(*TITLES) | (known & ~capital_next)
-            return F.when(at("tok", i) == ".", ~goes_on).otherwise(at("tok", i).isin("!", "?"))
+def split_up(text: Column, then, gaps: bool = True) -> Column:
+    """``then`` of struct tok, gap (before each token and, last, after all), low, i for a text that isn't null."""
+    tok = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    gap = F.call_function("split", text, F.lit(TOKEN), F.lit(-1)) if gaps else F.array().cast("array<string>")
+    more = lambda z: let(F.struct(z["tok"].alias("tok"), z["gap"].alias("gap"), F.transform(z["tok"], normalised).alias("low"), F.transform(z["tok"], lambda _, i: i).alias("i")), then)
+    return let(F.struct(tok.alias("tok"), gap.alias("gap")), more)
+
 
-        def rise(i):
-            return at("gap", i).contains("\n").cast("long") + F.when(i > 0, F.coalesce(ends_sentence(i - 1), F.lit(False))).otherwise(F.lit(False)).cast("long")
+def totals(values: Column) -> Column:
+    """Running totals of an array that may be empty."""
+    return F.when(F.size(values) > 0, running(values)).otherwise(F.array().cast("array<bigint>"))
 
-        def feeds(i):
-            return (F.length(at("gap", i)) - F.length(F.replace(at("gap", i), F.lit("\n"), F.lit("")))).cast("long")
 
-        return F.struct(
-            z["tok"].alias("tok"), z["gap"].alias("gap"), F.transform(z["tok"], normalised).alias("low"), F.transform(z["tok"], lambda _, i: i).alias("i"),
-            F.zip_with(z["end"], z["tok"], lambda e, t: e - F.length(t)).alias("start"), z["end"].alias("end"),
-            totals(F.transform(z["tok"], lambda _, i: rise(i))).alias("sent"), totals(F.transform(z["tok"], lambda _, i: feeds(i))).alias("para"),
-        )
+def ends(z) -> Column:
+    """The place after each token; a text without tokens has one gap."""
+    both = F.zip_with(z["tok"], F.slice(z["gap"], 1, F.greatest(F.size(z["tok"]), F.lit(1))), lambda t, g: F.coalesce(F.length(t), F.lit(0)) + F.length(g))
+    return F.when(F.size(z["tok"]) > 0, running(both)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tok"), F.call_function("split", text, F.lit(TOKEN), F.lit(-1)).alias("gap")), found)
+
+def rises(z, i) -> Column:
+    """By how much the sentence ordinal grows at a token: for a line feed before it, and for an end at the token before."""
+    ended = F.when(_at(z, "tok", i - 1).isin(".", "!", "?"), ends_sentence(z, i - 1)).otherwise(F.lit(False))
+    return _at(z, "gap", i).contains("\n").cast("long") + F.coalesce(ended, F.lit(False)).cast("long")
+
+
+def feeds(z, i) -> Column:
+    return (F.length(_at(z, "gap", i)) - F.length(F.replace(_at(z, "gap", i), F.lit("\n"), F.lit("")))).cast("long")
+
+
+def analysed(text: Column, wanted: frozenset[str] = frozenset(("end", "sent", "para"))) -> Column:
+    """struct of arrays tok, gap, low, i, and those of start and end (for ``end``), sent, para that are wanted, for a text that isn't null."""
+
+    def placed(z):
+        more = [z[n].alias(n) for n in ("tok", "gap", "low", "i")]
+        if "sent" in wanted:
+            more.append(totals(F.transform(z["i"], lambda i: rises(z, i))).alias("sent"))
+        if "para" in wanted:
+            more.append(totals(F.transform(z["i"], lambda i: feeds(z, i))).alias("para"))
+        if "end" in wanted:
+            more.append(ends(z).alias("end"))
+            return let(F.struct(*more), lambda y: F.struct(*[y[n].alias(n) for n in ("tok", "gap", "low", "i", "end", *sorted(wanted & {"sent", "para"}))], F.zip_with(y["end"], y["tok"], lambda e, t: e - F.length(t)).alias("start")))
+        return F.struct(*more)
+
+    return split_up(text, placed, bool(wanted))
 
 
 FIELDS = {
     "i": "int", "tok": "string", "norm": "string", "gap": "string", "gapn": "string", "s0": "bigint", "e0": "bigint", "sent": "bigint", "psent": "bigint", "para": "bigint", "ppara": "bigint",
     "prev": "string", "prev_n": "string", "prev2_n": "string", "prev3_n": "string", "next": "string", "next_n": "string", "next2_n": "string",
 }
+#: What must be known for a field; all others come from tokens alone.
+_NEEDS = {"gap": "gap", "gapn": "gap", "s0": "end", "e0": "end", "sent": "sent", "psent": "sent", "para": "para", "ppara": "para"}
+SHIFTED = {"gap": ("gap", 0), "gapn": ("gap", 1), "prev": ("tok", -1), "prev_n": ("low", -1), "prev2_n": ("low", -2), "prev3_n": ("low", -3), "next": ("tok", 1), "next_n": ("low", 1), "next2_n": ("low", 2)}
+_PLAIN = {"i": "i", "tok": "tok", "norm": "low", "s0": "start", "e0": "end", "sent": "sent", "para": "para"}
+
 
+def fields_in(sql: str) -> tuple[str, ...]:
+    """The token fields that a piece of SQL names (and tok, which tells words)."""
+    return tuple(n for n in FIELDS if n == "tok" or re.search(rf"\b{n}\b", sql))
 
-def token_array(text: Column) -> Column:
-    """array of structs FIELDS: each token with its neighbours ("" beyond the ends; ordinals -1 before the first)."""
+
+def token_array(text: Column, fields: tuple[str, ...] = tuple(FIELDS)) -> Column:
+    """array of structs of ``fields``: each token with its neighbours ("" beyond the ends; ordinals -1 before the first). Only what the fields need is computed."""
 
     def zipped(z):
-        def shifted(name: str, by: int):
-            return F.transform(z["i"], lambda i: F.coalesce(F.get(z[name], i + by), F.lit("")))
+        def one(name: str):
+            if name in _PLAIN:
+                return z[_PLAIN[name]]
+            if name in SHIFTED:
+                array, by = SHIFTED[name]
+                return F.transform(z["i"], lambda i: _at(z, array, i + by))
+            return F.transform(z["i"], lambda i: F.when(i > 0, F.get(z[name[1:]], i - 1)).otherwise(F.lit(-1).cast("long")))
+
+        return F.arrays_zip(*map(one, fields)).cast("array<struct<" + ",".join(f"{n}:{FIELDS[n]}" for n in fields) + ">>")
+
+    return let(analysed(text, frozenset(_NEEDS[n] for n in fields if n in _NEEDS)), zipped)
 
-        def before(name: str):
-            return F.transform(z["i"], lambda i: F.when(i > 0, F.get(z[name], i - 1)).otherwise(F.lit(-1).cast("long")))
 
-        arrays = (
-            z["i"], z["tok"], z["low"], shifted("gap", 0), shifted("gap", 1), z["start"], z["end"], z["sent"], before("sent"), z["para"], before("para"),
-            shifted("tok", -1), shifted("low", -1), shifted("low", -2), shifted("low", -3), shifted("tok", 1), shifted("low", 1), shifted("low", 2),
-        )
-        return F.arrays_zip(*arrays).cast("array<struct<" + ",".join(f"{n}:{k}" for n, k in FIELDS.items()) + ">>")
+def rows_of(docs: DataFrame, keep: list, array: Column, mark: str) -> DataFrame:
+    """``keep`` and the fields of each struct of an array; ``mark`` is a field that is never null.
 
-    return let(analysed(text), zipped)
+    The generator is an outer one: before an inner one Spark puts filters that compute the array again to see whether it is empty.
+    """
+    return docs.select(*keep, F.inline_outer(array)).where(F.col(mark).isNotNull())
 
 
-def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row a token: ``key``, ``extra``, FIELDS and isw (it is a word). Null texts have no tokens."""
-    rows = docs.select(F.col(key), *extra, F.inline(token_array(F.coalesce(F.col(text), F.lit("")))))
+def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """One row a token: ``key``, ``extra``, ``fields`` and isw (it is a word). Null texts have no tokens."""
+    rows = rows_of(docs, [F.col(key), *extra], token_array(F.coalesce(F.col(text), F.lit("")), fields), "tok")
     return rows.withColumn("isw", F.col("tok").rlike(r"^\p{L}"))
 
 
@@ -178,23 +252,19 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", extr
         words = F.size(F.filter(F.slice(a["tok"], first + 1, last - first + 1), lambda t: t.rlike(r"^\p{L}")))
         return F.struct(F.get(a["sent"], first).alias("sent"), s0.alias("s0"), e0.alias("e0"), words.cast("long").alias("words"), F.substr(y["body"], (s0 + 1).cast("int"), (e0 - s0).cast("int")).alias("body"))
 
-    return docs.select(F.col(key), *extra, F.inline(let(F.struct(analysed(body).alias("a"), body.alias("body")), split)))
+    return rows_of(docs, [F.col(key), *extra], let(F.struct(analysed(body, frozenset(("end", "sent"))).alias("a"), body.alias("body")), split), "s0")
 
 
 def tokens_sql(table: str = "documents", key: str = "doc_id", extra: tuple[str, ...] = ()) -> str:
     """The same token rows in DuckDB, as CTEs ending in ``tokens``."""
     more = "".join(f", {e}" for e in extra)
-    titles, short = quoted(TITLES), quoted(ABBREVIATIONS)
     return f"""base AS (SELECT {key}{more}, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL.replace("'", "''")}') AS toks, regexp_split_to_array(coalesce(text, ''), '{TOKEN_SQL.replace("'", "''")}') AS gaps FROM {table}),
 t0 AS (SELECT {key}{more}, unnest(toks) AS tok, unnest(gaps[1:len(toks)]) AS gap, unnest(gaps[2:len(toks) + 1]) AS gapn, generate_subscripts(toks, 1) - 1 AS i FROM base),
 t1 AS (SELECT *, replace(lower(tok), '’', '''') AS norm, rx(tok, '^\\p{{L}}') AS isw,
  coalesce(lag(tok) OVER w, '') AS prev, coalesce(lag(tok, 2) OVER w, '') AS prev2, coalesce(lead(tok) OVER w, '') AS next, coalesce(lag(gap) OVER w, '') AS pgap,
  sum(length(gap) + length(tok)) OVER (w ROWS UNBOUNDED PRECEDING) AS e0 FROM t0 WINDOW w AS (PARTITION BY {key} ORDER BY i)),
 t2 AS (SELECT *, CASE WHEN gap = '' THEN regexp_extract(prev, '(\\p{{L}}+)$', 1) ELSE '' END AS word FROM t1),
-t3 AS (SELECT *, tok IN ('!', '?') OR (tok = '.' AND NOT (
-  (gapn = '' AND rx(next, '^\\p{{Ll}}')) OR (length(word) = 1 AND gapn = '' AND rx(next, '^\\p{{L}}')) OR lower(word) IN ({titles})
-  OR (((length(word) = 1 AND pgap = '' AND prev2 = '.') OR lower(word) IN ({short}) OR (length(word) = 1 AND word <> 'I' AND rx(word, '^\\p{{Lu}}')))
-   AND NOT (rx(gapn, '^[\\x20\\t]*\\z') AND rx(next, '^\\p{{Lu}}'))))) AS ender FROM t2),
+t3 AS (SELECT *, tok IN ('!', '?') OR (tok = '.' AND NOT rx(concat(CASE WHEN length(word) = 1 AND pgap = '' AND prev2 = '.' THEN '&' ELSE '' END, word, '.', gapn, next), '{OPEN}')) AS ender FROM t2),
 t4 AS (SELECT *, CASE WHEN contains(gap, chr(10)) THEN 1 ELSE 0 END + coalesce(CASE WHEN lag(ender) OVER w THEN 1 ELSE 0 END, 0) AS rise, length(gap) - length(replace(gap, chr(10), '')) AS feeds FROM t3 WINDOW w AS (PARTITION BY {key} ORDER BY i)),
 t5 AS (SELECT *, (e0 - length(tok))::BIGINT AS s0, (sum(rise) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS sent, (sum(feeds) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS para FROM t4 WINDOW w AS (PARTITION BY {key} ORDER BY i)),
 tokens AS (SELECT {key}{more}, i, tok, norm, gap, gapn, s0, e0::BIGINT AS e0, sent, coalesce(lag(sent) OVER w, -1) AS psent, para, coalesce(lag(para) OVER w, -1) AS ppara, prev, coalesce(lag(norm) OVER w, '') AS prev_n, coalesce(lag(norm, 2) OVER w, '') AS prev2_n,

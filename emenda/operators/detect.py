@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emenda.functions import text as T
+from emenda.operators.grammar import BLANK, BLANK_AFTER, GRAMMAR, INSIDE, STARTS, mapped, same_case
 
 #: Word lists of the rules.
 CALENDAR = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "april", "june", "july", "september", "october", "november", "december")
@@ -41,66 +42,79 @@ class Detector:
     category: str
     confidence: float
     explanation: str
+    #: What the token must be at least: one of these words, or a shape. The condition implies it.
+    on: tuple[str, ...] | str
     when: str
     start: str
     end: str
     replacement: str
 
 
-def _map(words: dict[str, str]) -> str:
-    return "CASE norm " + " ".join(f"WHEN {T.quoted([a])} THEN {T.quoted([b])}" for a, b in words.items()) + " END"
+def _beside(z, i, by: int, name: str = "tok") -> Column:
+    return F.coalesce(F.get(z[name], i + by), F.lit(""))
 
 
-def _one_case(word: str) -> str:
-    """A replacement that keeps the token's first capital."""
-    return rf"(CASE WHEN rx(tok, '^\p{{Lu}}') THEN concat(upper(substr({word}, 1, 1)), substr({word}, 2)) ELSE {word} END)"
+#: Cheap tests on a text's arrays (tok, low, gap) and a place in them.
+SHAPES = {
+    "starts": lambda z, i: (i == 0) | _beside(z, i, 0, "gap").contains("\n") | _beside(z, i, -1).isin(".", "!", "?"),
+    "double": lambda z, i: F.get(z["low"], i) == _beside(z, i, -1, "low"),
+    "mark": lambda z, i: F.get(z["tok"], i).isin(",", ";", ":", "!", "?"),
+    "colon": lambda z, i: F.get(z["tok"], i) == ":",
+    "after_mark": lambda z, i: _beside(z, i, -1).isin(",", ";", ":", ".", "!", "?"),
+    "bracket": lambda z, i: F.get(z["tok"], i).isin("(", ")") | (_beside(z, i, -1) == "("),
+    "possessive": lambda z, i: F.get(z["low"], i).contains("'s"),
+    "adverb": lambda z, i: (_beside(z, i, 1) == "-") & F.get(z["low"], i).endswith("ly"),
+    "year": lambda z, i: (F.length(F.get(z["tok"], i)) == 4) & (F.get(z["tok"], i).startswith("1") | F.get(z["tok"], i).startswith("2")),
+    "line_end": lambda z, i: _beside(z, i, 1, "gap").startswith("\n"),
+}
 
-
-BLANK = r"rx(gap, '^[\x20\t]+\z')"
-BLANK_AFTER = r"rx(gapn, '^[\x20\t]+\z')"
-INSIDE = "sent = psent"
-STARTS = "sent <> psent"
 ENUMERATOR = r"(gapn = '' AND next = ')' AND (length(tok) = 1 OR rx(tok, '^[ivxlc]{1,4}\z')))"
-PROPER_CASE = _map(PROPER)
-_DOUBLE = (
-    f"norm = prev_n AND {INSIDE} AND isw AND para = ppara AND {BLANK} AND norm NOT IN ({T.quoted(MEANT_TWICE)}) AND NOT (length(tok) = 1 AND tok <> prev)"
-    " AND NOT (norm = 'is' AND prev2_n IN ('it', 'that', 'this') AND prev3_n IN ('what', 'all', 'way', 'how', 'who', 'where', 'whatever'))"
-    f" AND (norm <> 'that' OR next IN ('', '.', '!', '?') OR next_n IN ({T.quoted(AFTER_THAT)}))"
-    r" AND NOT (rx(tok, '^\p{Lu}') AND rx(prev, '^\p{Lu}') AND i >= 2)"
-    r" AND NOT (gapn = '' AND (rx(next, '^[0-9$€£¥#/_]') OR (next = '-' AND length(tok) < 2)))"
-)
+PROPER_CASE = mapped(PROPER)
+#: A word twice in one line of a sentence is a slip, unless the writer can have meant both.
+_DOUBLE = f"norm = prev_n AND isw AND {INSIDE} AND para = ppara AND {BLANK}"
+MEANT = {
+    "emphasis": f"norm IN ({T.quoted(MEANT_TWICE)})",
+    # "what it is is", "all that is is"
+    "cleft": rf"norm = 'is' AND rx(concat(prev3_n, ' ', prev2_n), '^(what|all|way|how|who|where|whatever) (it|that|this)\z')",
+    # "that that word": the second one points, unless a clause or nothing follows
+    "pointing": rf"norm = 'that' AND NOT rx(next_n, '^([.!?]?|{'|'.join(AFTER_THAT)})\z')",
+    "name": r"i >= 2 AND rx(prev, '^\p{Lu}') AND rx(tok, '^\p{Lu}')",
+    "initials": "length(tok) = 1 AND (tok <> prev OR (gapn = '' AND next = '-'))",
+    "figure": r"gapn = '' AND rx(next, '^[0-9$€£¥#/_]')",
+}
+_SLIP = f"{_DOUBLE} AND NOT (" + " OR ".join(f"({m})" for m in MEANT.values()) + ")"
 _RAISED = r"(rx(tok, '^\p{Lu}') AND NOT rx(prev, '^\p{Lu}'))"
 _ACRONYM = r"rx(tok, '^\p{Lu}{2,}\z')"
 
 DETECTORS = (
-    Detector("grammar.personal_pronoun", "Capitalization", 0.99, "Capitalize the first-person pronoun.", rf"(tok = 'i' OR (norm IN ('i''m', 'i''ve', 'i''ll', 'i''d') AND rx(tok, '^i[^\p{{Lu}}]+\z'))) AND NOT (gapn = '' AND next = '.' AND rx(next2_n, '^\p{{L}}')) AND NOT {ENUMERATOR}", "s0", "s0 + 1", "'I'"),
-    Detector("grammar.sentence_capitalization", "Capitalization", 0.97, "Start the sentence with a capital letter.", rf"{STARTS} AND rx(tok, '^\p{{Ll}}') AND (length(tok) > 1 OR norm = 'a') AND norm NOT IN ({T.quoted(CHAT)}) AND NOT {ENUMERATOR} AND NOT (norm IN ('i''m', 'i''ve', 'i''ll', 'i''d')) AND NOT (gapn = '' AND rx(next, '^[(_=/]'))", "s0", "CASE WHEN tok = 'ok' THEN e0 ELSE s0 + 1 END", "CASE WHEN tok = 'ok' THEN 'OK' ELSE upper(substr(tok, 1, 1)) END"),
-    Detector("grammar.calendar_capitalization", "Capitalization", 0.95, "Days and months take a capital letter.", f"tok IN ({T.quoted(CALENDAR)}) AND {INSIDE}", "s0", "e0", "concat(upper(substr(tok, 1, 1)), substr(tok, 2))"),
-    Detector("grammar.proper_noun_capitalization", "Capitalization", 0.94, "Names of places and languages take a capital letter.", f"tok IN ({T.quoted(PROPER)}) AND {INSIDE}", "s0", "e0", PROPER_CASE),
-    Detector("grammar.season_lowercase", "Capitalization", 0.9, "Seasons are written in lower case.", f"tok IN ({T.quoted(SEASONS)}) AND {INSIDE} AND prev_n IN ('in', 'this', 'last', 'next', 'the', 'every') AND NOT rx(next, '^\\p{{Lu}}')", "s0", "e0", "lower(tok)"),
-    Detector("grammar.repeated_word", "Repetition", 0.99, "Remove an accidental repeated word.", f"{_DOUBLE} AND NOT {_RAISED}", "s0 - length(gap)", "e0", "''"),
-    Detector("grammar.repeated_word", "Repetition", 0.99, "Remove an accidental repeated word.", f"{_DOUBLE} AND {_RAISED} AND norm IN ({T.quoted(FUNCTION_WORDS)}) AND NOT {_ACRONYM}", "s0 - length(gap) - length(prev)", "s0", "''"),
-    Detector("punctuation.before_mark", "Punctuation", 0.98, "Remove whitespace before punctuation.", rf"tok IN (',', ';', ':', '!', '?') AND {BLANK} AND rx(prev, '[A-Za-z]\z')", "s0 - length(gap)", "s0", "''"),
-    Detector("punctuation.after_mark", "Punctuation", 0.98, "Separate words with a space after punctuation.", r"gap = '' AND prev IN (',', ';', ':') AND rx(tok, '^[A-Za-z]') AND rx(prev2_n, '[a-z]{2,}\z')", "s0", "s0", "' '"),
-    Detector("punctuation.doubled_mark", "Punctuation", 0.97, "Remove the doubled mark.", "tok IN (',', ';', ':') AND prev = tok AND gap = ''", "s0", "e0", "''"),
-    Detector("punctuation.glued_sentence", "Punctuation", 0.95, "Separate sentences with a space.", r"gap = '' AND prev IN ('.', '!', '?') AND rx(tok, '^\p{Lu}\p{Ll}') AND rx(prev2_n, '^\p{L}{2,}\z') AND sent <> psent", "s0", "s0", "' '"),
-    Detector("punctuation.introductory_comma", "Punctuation", 0.9, "Set off an introductory adverb with a comma.", rf"{STARTS} AND norm IN ('however', 'therefore', 'moreover', 'meanwhile', 'furthermore', 'consequently') AND {BLANK_AFTER} AND rx(next, '^\p{{L}}')", "e0", "e0", "','"),
-    Detector("grammar.article_sound", "Grammar", 0.96, "The article follows the sound of the next word.", rf"norm = 'a' AND {BLANK_AFTER} AND rx(next_n, '^[aeio]\p{{L}}+\z') AND NOT rx(next_n, '^(one|once|eu|ewe)') AND NOT ({ENUMERATOR})", "s0", "e0", _one_case("'an'")),
-    Detector("grammar.article_sound", "Grammar", 0.96, "The article follows the sound of the next word.", rf"norm = 'an' AND {BLANK_AFTER} AND rx(next_n, '^[bcdfgjklmnpqrstvwyz]\p{{L}}+\z')", "s0", "e0", _one_case("'a'")),
-    Detector("grammar.subject_agreement", "Grammar", 0.9, "The verb agrees with its subject.", f"norm IN ('is', 'was') AND prev_n IN ('they', 'we', 'you', 'these', 'those') AND {INSIDE} AND {BLANK} AND prev2_n NOT IN ('of', 'with', 'to', 'for', 'from', 'between', 'what', 'who')", "s0", "e0", "CASE norm WHEN 'is' THEN 'are' ELSE 'were' END"),
-    Detector("grammar.subject_agreement", "Grammar", 0.9, "The verb agrees with its subject.", f"norm IN ('are', 'were') AND prev_n IN ('he', 'she', 'it') AND {INSIDE} AND {BLANK} AND prev2_n NOT IN ('and', 'or', 'if', 'wish', 'as', 'though', 'of', 'like')", "s0", "e0", "CASE norm WHEN 'are' THEN 'is' ELSE 'was' END"),
-    Detector("grammar.subject_do_agreement", "Grammar", 0.92, "The verb agrees with its subject.", f"norm = 'do' AND prev_n IN ('he', 'she', 'it') AND next_n = 'not' AND {INSIDE}", "s0", "e0", "'does'"),
-    Detector("grammar.modal_have", "Grammar", 0.97, "A modal verb is followed by have.", f"norm = 'of' AND prev_n IN ('could', 'should', 'would', 'must', 'might') AND {INSIDE} AND {BLANK} AND next_n <> 'course'", "s0", "e0", "'have'"),
-    Detector("grammar.its_contraction", "Grammar", 0.93, "Write the contraction of it is.", rf"norm = 'its' AND next_n IN ('been', 'a', 'an', 'the', 'not', 'going', 'very', 'too') AND {BLANK_AFTER}", "s0", "e0", _one_case("'it''s'")),
-    Detector("grammar.demonstrative_number", "Grammar", 0.9, "The demonstrative agrees with the noun.", f"norm IN ('this', 'that') AND next_n IN ('people', 'things', 'days', 'children', 'words', 'reasons') AND {INSIDE}", "s0", "e0", "CASE norm WHEN 'this' THEN 'these' ELSE 'those' END"),
-    Detector("grammar.quantifier_number", "Grammar", 0.9, "Countable nouns take fewer or many.", f"norm IN ('less', 'much') AND next_n IN ('people', 'items', 'errors', 'words', 'days', 'things') AND {INSIDE}", "s0", "e0", "CASE norm WHEN 'less' THEN 'fewer' ELSE 'many' END"),
-    Detector("grammar.there_agreement", "Grammar", 0.9, "There is agrees with what follows.", f"norm = 'is' AND prev_n = 'there' AND next_n IN ('many', 'several', 'few', 'two', 'three', 'some') AND {INSIDE}", "s0", "e0", "'are'"),
-    Detector("spelling.contraction", "Spelling", 0.95, "Write the contraction with an apostrophe.", f"norm IN ({T.quoted(CONTRACTIONS)})", "s0", "e0", _one_case(f"({_map(CONTRACTIONS)})")),
-    Detector("spelling.common_misspelling", "Spelling", 0.97, "Correct a common misspelling.", f"norm IN ({T.quoted(MISSPELLINGS)})", "s0", "e0", _one_case(f"({_map(MISSPELLINGS)})")),
-    Detector("spelling.split_compound", "Spelling", 0.96, "Write as two words.", "norm IN ('alot', 'aswell', 'infact', 'incase', 'eachother')", "s0", "e0", _one_case("(CASE norm WHEN 'alot' THEN 'a lot' WHEN 'aswell' THEN 'as well' WHEN 'infact' THEN 'in fact' WHEN 'incase' THEN 'in case' ELSE 'each other' END)")),
-    Detector("spelling.join_compound", "Spelling", 0.94, "Write as one word.", f"norm IN ('self', 'selves') AND prev_n IN ('my', 'your', 'him', 'her', 'it', 'our', 'them') AND {INSIDE} AND gap = ' '", "s0 - length(gap)", "s0", "''"),
-    Detector("spelling.possessive_boundary", "Spelling", 0.96, "Separate the possessive name from its following noun.", r"instr(norm, '''s') > 0 AND rx(norm, '^\p{L}{2,}''s\p{L}{3,}\z')", "s0 + instr(norm, '''s') + 1", "s0 + instr(norm, '''s') + 1", "' '"),
-)
+    Detector("grammar.personal_pronoun", "Capitalization", 0.99, "Capitalize the first-person pronoun.", ("i", "i'm", "i've", "i'll", "i'd"), rf"(tok = 'i' OR (norm IN ('i''m', 'i''ve', 'i''ll', 'i''d') AND rx(tok, '^i[^\p{{Lu}}]+\z'))) AND NOT (gapn = '' AND next = '.' AND rx(next2_n, '^\p{{L}}')) AND NOT {ENUMERATOR}", "s0", "s0 + 1", "'I'"),
+    Detector("grammar.sentence_capitalization", "Capitalization", 0.97, "Start the sentence with a capital letter.", "starts", rf"{STARTS} AND rx(tok, '^\p{{Ll}}') AND (length(tok) > 1 OR norm = 'a') AND norm NOT IN ({T.quoted(CHAT)}) AND NOT {ENUMERATOR} AND NOT (norm IN ('i''m', 'i''ve', 'i''ll', 'i''d')) AND NOT (gapn = '' AND rx(next, '^[(_=/]'))", "s0", "CASE WHEN tok = 'ok' THEN e0 ELSE s0 + 1 END", "CASE WHEN tok = 'ok' THEN 'OK' ELSE upper(substr(tok, 1, 1)) END"),
+    Detector("grammar.calendar_capitalization", "Capitalization", 0.95, "Days and months take a capital letter.", CALENDAR, f"tok IN ({T.quoted(CALENDAR)}) AND {INSIDE}", "s0", "e0", "concat(upper(substr(tok, 1, 1)), substr(tok, 2))"),
+    Detector("grammar.proper_noun_capitalization", "Capitalization", 0.94, "Names of places and languages take a capital letter.", tuple(PROPER), f"tok IN ({T.quoted(PROPER)}) AND {INSIDE}", "s0", "e0", PROPER_CASE),
+    Detector("grammar.season_lowercase", "Capitalization", 0.9, "Seasons are written in lower case.", tuple(x.lower() for x in SEASONS), f"tok IN ({T.quoted(SEASONS)}) AND {INSIDE} AND prev_n IN ('in', 'this', 'last', 'next', 'the', 'every') AND NOT rx(next, '^\\p{{Lu}}')", "s0", "e0", "lower(tok)"),
+    Detector("grammar.repeated_word", "Repetition", 0.99, "Remove an accidental repeated word.", "double", f"{_SLIP} AND NOT {_RAISED}", "s0 - length(gap)", "e0", "''"),
+    Detector("grammar.repeated_word", "Repetition", 0.99, "Remove an accidental repeated word.", "double", f"{_SLIP} AND {_RAISED} AND norm IN ({T.quoted(FUNCTION_WORDS)}) AND NOT {_ACRONYM}", "s0 - length(gap) - length(prev)", "s0", "''"),
+    Detector("punctuation.before_mark", "Punctuation", 0.98, "Remove whitespace before punctuation.", "mark", rf"tok IN (',', ';', ':', '!', '?') AND {BLANK} AND rx(prev, '[A-Za-z]\z')", "s0 - length(gap)", "s0", "''"),
+    Detector("punctuation.after_mark", "Punctuation", 0.98, "Separate words with a space after punctuation.", "after_mark", r"gap = '' AND prev IN (',', ';', ':') AND rx(tok, '^[A-Za-z]') AND rx(prev2_n, '[a-z]{2,}\z')", "s0", "s0", "' '"),
+    Detector("punctuation.doubled_mark", "Punctuation", 0.97, "Remove the doubled mark.", "mark", "tok IN (',', ';', ':') AND prev = tok AND gap = ''", "s0", "e0", "''"),
+    Detector("punctuation.glued_sentence", "Punctuation", 0.95, "Separate sentences with a space.", "after_mark", r"gap = '' AND prev IN ('.', '!', '?') AND rx(tok, '^\p{Lu}\p{Ll}') AND rx(prev2_n, '^\p{L}{2,}\z') AND sent <> psent", "s0", "s0", "' '"),
+    Detector("punctuation.introductory_comma", "Punctuation", 0.9, "Set off an introductory adverb with a comma.", ("however", "therefore", "moreover", "meanwhile", "furthermore", "consequently"), rf"{STARTS} AND norm IN ('however', 'therefore', 'moreover', 'meanwhile', 'furthermore', 'consequently') AND {BLANK_AFTER} AND rx(next, '^\p{{L}}')", "e0", "e0", "','"),
+    Detector("grammar.article_sound", "Grammar", 0.96, "The article follows the sound of the next word.", ("a", "an"), rf"norm = 'a' AND {BLANK_AFTER} AND rx(next_n, '^[aeio]\p{{L}}+\z') AND NOT rx(next_n, '^(one|once|eu|ewe)') AND NOT ({ENUMERATOR})", "s0", "e0", same_case("'an'")),
+    Detector("grammar.article_sound", "Grammar", 0.96, "The article follows the sound of the next word.", ("a", "an"), rf"norm = 'an' AND {BLANK_AFTER} AND rx(next_n, '^[bcdfgjklmnpqrstvwyz]\p{{L}}+\z')", "s0", "e0", same_case("'a'")),
+    Detector("grammar.subject_agreement", "Grammar", 0.9, "The verb agrees with its subject.", ("is", "was", "are", "were"), f"norm IN ('is', 'was') AND prev_n IN ('they', 'we', 'you', 'these', 'those') AND {INSIDE} AND {BLANK} AND prev2_n NOT IN ('of', 'with', 'to', 'for', 'from', 'between', 'what', 'who')", "s0", "e0", "CASE norm WHEN 'is' THEN 'are' ELSE 'were' END"),
+    Detector("grammar.subject_agreement", "Grammar", 0.9, "The verb agrees with its subject.", ("is", "was", "are", "were"), f"norm IN ('are', 'were') AND prev_n IN ('he', 'she', 'it') AND {INSIDE} AND {BLANK} AND prev2_n NOT IN ('and', 'or', 'if', 'wish', 'as', 'though', 'of', 'like')", "s0", "e0", "CASE norm WHEN 'are' THEN 'is' ELSE 'was' END"),
+    Detector("grammar.subject_do_agreement", "Grammar", 0.92, "The verb agrees with its subject.", ("do",), f"norm = 'do' AND prev_n IN ('he', 'she', 'it') AND next_n = 'not' AND {INSIDE}", "s0", "e0", "'does'"),
+    Detector("grammar.modal_have", "Grammar", 0.97, "A modal verb is followed by have.", ("of",), f"norm = 'of' AND prev_n IN ('could', 'should', 'would', 'must', 'might') AND {INSIDE} AND {BLANK} AND next_n <> 'course'", "s0", "e0", "'have'"),
+    Detector("grammar.its_contraction", "Grammar", 0.93, "Write the contraction of it is.", ("its",), rf"norm = 'its' AND next_n IN ('been', 'a', 'an', 'the', 'not', 'going', 'very', 'too') AND {BLANK_AFTER}", "s0", "e0", same_case("'it''s'")),
+    Detector("grammar.demonstrative_number", "Grammar", 0.9, "The demonstrative agrees with the noun.", ("this", "that"), f"norm IN ('this', 'that') AND next_n IN ('people', 'things', 'days', 'children', 'words', 'reasons') AND {INSIDE}", "s0", "e0", "CASE norm WHEN 'this' THEN 'these' ELSE 'those' END"),
+    Detector("grammar.quantifier_number", "Grammar", 0.9, "Countable nouns take fewer or many.", ("less", "much"), f"norm IN ('less', 'much') AND next_n IN ('people', 'items', 'errors', 'words', 'days', 'things') AND {INSIDE}", "s0", "e0", "CASE norm WHEN 'less' THEN 'fewer' ELSE 'many' END"),
+    Detector("grammar.there_agreement", "Grammar", 0.9, "There is agrees with what follows.", ("is",), f"norm = 'is' AND prev_n = 'there' AND next_n IN ('many', 'several', 'few', 'two', 'three', 'some') AND {INSIDE}", "s0", "e0", "'are'"),
+    Detector("spelling.contraction", "Spelling", 0.95, "Write the contraction with an apostrophe.", tuple(CONTRACTIONS), f"norm IN ({T.quoted(CONTRACTIONS)})", "s0", "e0", same_case(f"({mapped(CONTRACTIONS)})")),
+    Detector("spelling.common_misspelling", "Spelling", 0.97, "Correct a common misspelling.", tuple(MISSPELLINGS), f"norm IN ({T.quoted(MISSPELLINGS)})", "s0", "e0", same_case(f"({mapped(MISSPELLINGS)})")),
+    Detector("spelling.split_compound", "Spelling", 0.96, "Write as two words.", ("alot", "aswell", "infact", "incase", "eachother"), "norm IN ('alot', 'aswell', 'infact', 'incase', 'eachother')", "s0", "e0", same_case("(CASE norm WHEN 'alot' THEN 'a lot' WHEN 'aswell' THEN 'as well' WHEN 'infact' THEN 'in fact' WHEN 'incase' THEN 'in case' ELSE 'each other' END)")),
+    Detector("spelling.join_compound", "Spelling", 0.94, "Write as one word.", ("self", "selves"), f"norm IN ('self', 'selves') AND prev_n IN ('my', 'your', 'him', 'her', 'it', 'our', 'them') AND {INSIDE} AND gap = ' '", "s0 - length(gap)", "s0", "''"),
+    Detector("spelling.possessive_boundary", "Spelling", 0.96, "Separate the possessive name from its following noun.", "possessive", r"instr(norm, '''s') > 0 AND rx(norm, '^\p{L}{2,}''s\p{L}{3,}\z')", "s0 + instr(norm, '''s') + 1", "s0 + instr(norm, '''s') + 1", "' '"),
+) + tuple(Detector(*row) for row in GRAMMAR)
 EXPLANATIONS = {d.rule_id: d.explanation for d in DETECTORS}
 EDIT = "struct<s:bigint,e:bigint,original:string,replacement:string,category:string,rule_id:string,confidence:double>"
 
@@ -118,14 +132,43 @@ def detect(tokens: DataFrame, text: Column | None = None) -> DataFrame:
 
 def edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, s, e, replacement, category, rule_id, confidence, one row a candidate edit."""
-    return detect(T.token_rows(docs, key, text)).select(key, "edit.*")
+    return T.rows_of(edit_arrays(docs, key, text), [key], F.col("edits"), "s")
+
+
+#: Words on which a detector may fire, and the shapes.
+WORDS = tuple(sorted({w for d in DETECTORS if not isinstance(d.on, str) for w in d.on}))
+_SHAPES = tuple(sorted({d.on for d in DETECTORS if isinstance(d.on, str)}))
+
+
+def suspects(text: Column) -> Column:
+    """The token structs at which a detector may fire: few of all, so most tokens cost one look-up and no struct."""
+
+    def here(z, i):
+        may = F.get(z["low"], i).isin(*WORDS)
+        for name in _SHAPES:
+            may = may | SHAPES[name](z, i)
+        return may
+
+    def one(z, i):
+        # detectors only compare ordinals with those of the token before
+        first = (i == 0).cast("long")
+        places = {"i": i, "tok": F.get(z["tok"], i), "norm": F.get(z["low"], i), "s0": F.get(z["end"], i) - F.length(F.get(z["tok"], i)), "e0": F.get(z["end"], i), "psent": F.lit(0).cast("long"), "ppara": F.lit(0).cast("long")}
+        places |= {"sent": F.greatest(first, T.rises(z, i)), "para": F.greatest(first, T.feeds(z, i))}
+        places |= {n: _beside(z, i, by, array) for n, (array, by) in T.SHIFTED.items()}
+        return F.struct(*[places[n].alias(n) for n in T.FIELDS])
+
+    def found(z):
+        few = F.filter(z["i"], lambda i: here(z, i))
+        return F.transform(few, lambda i: one(z, i))
+
+    return T.let(T.analysed(text, frozenset(("end",))), found)
 
 
 def edit_arrays(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents (key, text) with a column ``edits``: the same candidates, computed without leaving the row."""
     parts = T.portable(", ".join(_inside(_candidates(d)) for d in DETECTORS), "spark")
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tokens", T.token_array(F.col("text")))
-    return rows.select(key, "text", F.expr(f"filter(flatten(transform(tokens, x -> array({parts}))), e -> e IS NOT NULL)").alias("edits"))
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tokens", suspects(F.col("text")))
+    return rows.select(key, "text", F.expr(f"flatten(transform(tokens, x -> filter(array({parts}), e -> e IS NOT NULL)))").alias("edits"))
 
 
 def _inside(expression: str) -> str:
