@@ -15,14 +15,24 @@ MOST_BYTES = 65_536
 MODES = ("fix", "professional", "friendly", "concise", "direct")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir, which all executors share, and read back."""
-    spark = df.sparkSession
+def shared_home(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which all executors share. It goes when the JVM ends. Only a local master does without the setting."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="emenda-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/emenda-{uuid.uuid4().hex}/{name}"
+    home = f"{at}/emenda-core-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return home
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_home(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

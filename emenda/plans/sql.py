@@ -1,7 +1,8 @@
 """SQL over DataFrames, in a subset that Spark and DuckDB both run.
 
 rx(text, pattern): a pattern is found anywhere; flat(array): one row an element; series(a, b): numbers from a to b; pct(x, p): interpolated
-quantile; hex256(x): SHA-256 in hexadecimal; week(d): the Monday of a date's week. Names in braces are frames.
+quantile; hex256(x): SHA-256 in hexadecimal; week(d): the Monday of a date's week; nth(array, k): an element, from 1; date_diff_days(a, b):
+days from a to b. Names in braces are frames.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARK = {"rx(": "regexp_like(", "flat(": "explode(", "series(": "sequence(", "pct(": "percentile(", "COUNT_OF(": "size("}
-DUCKDB = {"rx(": "regexp_matches(", "flat(": "unnest(", "series(": "generate_series(", "pct(": "quantile_cont(", "COUNT_OF(": "len("}
+SPARK = {"rx(": "regexp_like(", "flat(": "explode(", "series(": "sequence(", "pct(": "percentile(", "COUNT_OF(": "size(", "nth(": "element_at("}
+DUCKDB = {"rx(": "regexp_matches(", "flat(": "unnest(", "series(": "generate_series(", "pct(": "quantile_cont(", "COUNT_OF(": "len(", "nth(": "list_extract("}
 
 
 def for_spark(sql: str) -> str:
@@ -20,6 +21,7 @@ def for_spark(sql: str) -> str:
     for a, b in SPARK.items():
         sql = re.sub(rf"\b{re.escape(a)}", b, sql)
     sql = _call(sql, "hex256", "sha2(CAST({0} AS BINARY), 256)")
+    sql = re.sub(r"\bdate_diff_days\((CAST\(ts AS DATE\)), ", r"datediff(DAY, \1, ", sql)
     return _call(sql, "week", "CAST(date_trunc('week', {0}) AS DATE)")
 
 
@@ -40,6 +42,7 @@ def for_duckdb(sql: str, **frames: str) -> str:
     for a, b in DUCKDB.items():
         sql = re.sub(rf"\b{re.escape(a)}", b, sql)
     sql = re.sub(r"\bhex256\(", "sha256(", sql)
+    sql = re.sub(r"\bdate_diff_days\(", "date_diff('day', ", sql)
     sql = _call(sql, "week", "CAST(date_trunc('week', {0}) AS DATE)")
     return re.sub(r"\{([a-z]\w*)\}", lambda m: frames.get(m[1], m[1]), sql)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from emenda.functions import text as T
 
@@ -12,7 +13,9 @@ SQL: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables; texts of a table in fewer files than there are cores are dealt out to all of them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return T.spread(table) if name in ("documents", "conversations") else table
 
 
 def query(sql: str | None = None):
@@ -36,7 +39,7 @@ def token_counts(spark, sf):
 
 @query(f"WITH {TOKENS} SELECT doc_id, count(*) AS tokens, sum(s0 * (i + 1))::BIGINT AS places, sum(length(gap))::BIGINT AS gaps, max(e0) AS last_end FROM tokens GROUP BY doc_id")
 def token_offsets(spark, sf):
-    rows = T.token_rows(read(spark, sf, "documents"))
+    rows = T.token_rows(read(spark, sf, "documents"), fields=("i", "tok", "gap", "s0", "e0"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.col("s0") * (F.col("i") + 1)).alias("places"), F.sum(F.length("gap")).alias("gaps"), F.max("e0").alias("last_end"))
 
 
@@ -64,21 +67,22 @@ def candidate_edits(spark, sf):
 
 @query(f"WITH {EDITS} SELECT rule_id, category, count(*) AS edits, count(DISTINCT doc_id) AS docs FROM edits GROUP BY ALL")
 def rule_hits(spark, sf):
-    rows = D.edit_arrays(read(spark, sf, "documents")).select("doc_id", F.inline("edits"))
+    rows = D.edits(read(spark, sf, "documents"))
     return rows.groupBy("rule_id", "category").agg(F.count(F.lit(1)).alias("edits"), F.countDistinct("doc_id").alias("docs"))
 
 
+from emenda.operators import language  # noqa: E402, F401
 from emenda.operators.relational import SQL as RELATIONAL  # noqa: E402
 from emenda.plans import sql as S  # noqa: E402
 
 _BENCH = __import__("re").sub(r"\b(base|t[0-5]|tokens)\b", r"b_\1", T.tokens_sql("benchmark", "item_id"))
 
 
-def _frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def _frame(spark: SparkSession, sf: str, name: str, sql: str) -> DataFrame:
     if name == "tokens":
-        return T.token_rows(read(spark, sf, "documents"), extra=("lang",))
+        return T.token_rows(read(spark, sf, "documents"), extra=("lang",), fields=T.fields_in(sql))
     if name == "bench":
-        return T.token_rows(read(spark, sf, "benchmark"), "item_id")
+        return T.token_rows(read(spark, sf, "benchmark"), "item_id", fields=T.fields_in(sql))
     if name == "edits":
         return D.edits(read(spark, sf, "documents"))
     return read(spark, sf, name)
@@ -86,7 +90,7 @@ def _frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _relational(name: str, frames: tuple[str, ...], sql: str) -> None:
     def run(spark, sf):
-        return S.run(spark, sql, **{f: _frame(spark, sf, f) for f in frames})
+        return S.run(spark, sql, **{f: _frame(spark, sf, f, sql) for f in frames})
 
     run.__name__ = name
     QUERIES[name] = run
@@ -113,18 +117,18 @@ _ACCEPTED = f"{EDITS}, {_SPANS}, {R.accepted_sql()}"
 @query(f"WITH {_SPANS} SELECT doc_id, s, e, kind FROM spans")
 def protected_spans(spark, sf):
     docs = read(spark, sf, "documents")
-    return docs.select("doc_id", F.inline(R.protected(F.coalesce("text", F.lit("")))))
+    return T.rows_of(docs, ["doc_id"], R.protected(F.coalesce("text", F.lit(""))), "s")
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, s, e, kind FROM merged")
 def merged_spans(spark, sf):
     docs = read(spark, sf, "documents")
-    return docs.select("doc_id", F.inline(R.merged(R.protected(F.coalesce("text", F.lit(""))))))
+    return T.rows_of(docs, ["doc_id"], R.merged(R.protected(F.coalesce("text", F.lit("")))), "s")
 
 
 @query(f"WITH RECURSIVE {_ACCEPTED} SELECT doc_id, s, e, replacement, category, rule_id, confidence FROM accepted")
 def accepted_edits(spark, sf):
-    return R.corrected(read(spark, sf, "documents")).select("doc_id", F.inline("edits"))
+    return T.rows_of(R.corrected(read(spark, sf, "documents")), ["doc_id"], F.col("edits"), "s")
 
 
 @query(
@@ -141,7 +145,7 @@ def corrected_text(spark, sf):
     " SELECT doc_id, s AS a, e AS b, s + moved AS c, s + moved + n AS d FROM z"
 )
 def source_maps(spark, sf):
-    rows = R.corrected(read(spark, sf, "documents")).select("doc_id", F.inline(R.source_map(F.col("text"), F.col("edits"))))
+    rows = T.rows_of(R.corrected(read(spark, sf, "documents")), ["doc_id"], R.source_map(F.col("text"), F.col("edits")), "a")
     return rows.where("changed").select("doc_id", "a", "b", "c", "d")
 
 
@@ -160,18 +164,27 @@ def tone_rewrites(spark, sf):
     return rows.select("conv_id", "turn", "mode", (F.col("worded") != F.col("text")).alias("changed"), O.meaning_lost(F.col("text"), F.col("worded"), F.col("mode")).alias("lost"))
 
 
-def _streamed(spark, sf, shape, mode: str) -> DataFrame:
-    """All of a stream's rows so far, from a run to the end of what is there."""
+def _streamed(spark, sf, shape, mode: str, table: str = "events") -> DataFrame:
+    """All of a stream's rows so far, from a run to the end of what is there, by way of a table in the shared folder."""
     import uuid
 
-    events = read(spark, sf, "events")
-    folder = f"{sf}/events.parquet"
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet")
-    frame = shape(stream.parquet(folder if "check_" in sf else f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    run = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    schema = read(spark, sf, table).schema
+    # the stream's folder must hold nothing else, and a single file is not one
+    source = P.shared_table(spark.read.parquet(f"{sf}/{table}.parquet"), "source")
+    rows = spark.readStream.schema(schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    if "ts" in schema.names:
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    home = f"{P.shared_home(spark)}/{uuid.uuid4().hex}"
+    frame = shape(rows)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+
+    frame.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    out = spark.read.schema(StructType([*frame.schema.fields, StructField("batch", LongType())])).parquet(f"{home}/out")
+    if mode == "complete":  # each batch holds all results so far
+        out = out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch")
+    return out.drop("batch")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -182,3 +195,99 @@ def stream_dedupe(spark, sf):
 @query("SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS STRING) AS monday, event_type AS rule, count(*) AS reported FROM events GROUP BY 1, 2")
 def stream_weeks(spark, sf):
     return _streamed(spark, sf, lambda s: E.weekly(s).select(F.to_date("window.start").cast("string").alias("monday"), "rule", "reported"), "complete")
+
+
+from emenda.operators import privacy as V  # noqa: E402
+from emenda.operators import rules as K  # noqa: E402
+
+_PACK = f"WITH {TOKENS}, {K.sentences_sql()}, {K.pack_sql()}, found AS (SELECT doc_id, sent, id, body, regexp_replace(body, pattern, replacement, 'g') AS output FROM sentences, pack WHERE regexp_matches(body, pattern))"
+
+
+@query(f"{_PACK} SELECT doc_id, sent, id, md5(output) AS output FROM found")
+def rule_matches(spark, sf):
+    """Every rule of the pack against every sentence; the SQL tries all patterns on all sentences, without literals."""
+    return K.matches(read(spark, sf, "documents"), K.pack(spark)).select("doc_id", "sent", "id", F.md5(F.col("output").cast("binary")).alias("output"))
+
+
+@query(f"{_PACK} SELECT id, count(*) AS hits, count(DISTINCT doc_id) AS docs, count(*) FILTER (body <> output) AS changed FROM found GROUP BY id")
+def rule_pack_hits(spark, sf):
+    rows = K.matches(read(spark, sf, "documents"), K.pack(spark))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs"), F.sum((F.col("body") != F.col("output")).cast("long")).alias("changed"))
+
+
+@query(f"WITH {TOKENS}, {K.sentences_sql()} SELECT id, count(*) AS sentences FROM (SELECT s.*, unnest([" + ", ".join(f"'{i}'" for i, *_ in K.PACK) + "]) AS id, unnest([" + ", ".join(f"'{w}'" for *_, w in K.PACK) + "]) AS w FROM sentences s) x WHERE w = '' OR list_has_any(string_split(w, ' '), regexp_extract_all(lower(body), '\\p{L}+')) GROUP BY id")
+def rule_prefilter_hits(spark, sf):
+    """How many sentences each rule has to look at."""
+    return K.candidates(read(spark, sf, "documents"), K.pack(spark)).groupBy("id").agg(F.count(F.lit(1)).alias("sentences"))
+
+
+_PRIVATE = R.spans_sql(V.PRIVATE)
+
+
+@query(f"WITH {_PRIVATE} SELECT kind, count(*) AS spans, count(DISTINCT doc_id) AS docs, min(e - s) AS shortest, max(e - s) AS longest FROM spans GROUP BY kind")
+def private_spans(spark, sf):
+    rows = T.rows_of(read(spark, sf, "documents"), ["doc_id"], V.private(F.coalesce("text", F.lit(""))), "s")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("doc_id").alias("docs"), F.min(F.col("e") - F.col("s")).alias("shortest"), F.max(F.col("e") - F.col("s")).alias("longest"))
+
+
+_MARK = "list_extract([" + ", ".join(f"'[{k}]'" for k in V.PRIVATE) + "], kind + 1)"
+
+
+@query(
+    f"WITH {_PRIVATE}, o AS (SELECT doc_id, s, e, {_MARK} AS r FROM merged), p AS (SELECT o.doc_id, o.s, o.e, substr(d.text, coalesce(lag(o.e) OVER w, 0) + 1, o.s - coalesce(lag(o.e) OVER w, 0)) || r AS p, length(r) - (o.e - o.s) AS more FROM o JOIN documents d ON o.doc_id = d.doc_id WINDOW w AS (PARTITION BY o.doc_id ORDER BY o.s)),"
+    " w AS (SELECT doc_id, string_agg(p, '' ORDER BY s) AS head, max(e) AS e, count(*) AS n, sum(more) AS more FROM p GROUP BY doc_id)"
+    " SELECT d.doc_id, coalesce(n, 0)::BIGINT AS spans, coalesce(more, 0)::BIGINT AS longer, md5(coalesce(head, '') || substr(coalesce(text, ''), coalesce(e, 0) + 1)) AS redacted FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id"
+)
+def redactions(spark, sf):
+    """Each document with its private spans named, and by how much it grew."""
+    rows = V.redacted(read(spark, sf, "documents"))
+    grown = F.length("redacted").cast("long") - F.length("text").cast("long")
+    return rows.select("doc_id", F.size("edits").cast("long").alias("spans"), grown.alias("longer"), F.md5(F.col("redacted").cast("binary")).alias("redacted"))
+
+
+@query(
+    f"WITH {_PRIVATE}, o AS (SELECT doc_id, s, e, {_MARK} AS r FROM merged), z AS (SELECT *, coalesce(sum(length(r) - (e - s)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS moved FROM o)"
+    " SELECT doc_id, s AS a, e AS b, s + moved AS c, s + moved + length(r) AS d FROM z"
+)
+def redaction_maps(spark, sf):
+    """Where each private span was and where its name stands, so that suggestions can be moved back."""
+    rows = T.rows_of(V.redacted(read(spark, sf, "documents")), ["doc_id"], R.source_map(F.col("text"), F.col("edits")), "a")
+    return rows.where("changed").select("doc_id", "a", "b", "c", "d")
+
+
+_SURE = S.for_duckdb(RELATIONAL["spelling_in_context"][1]).removeprefix("WITH ")
+_BOTH = f"WITH RECURSIVE {TOKENS}, {D.edits_sql('found_edits')}, {_SPANS}, ranked_words AS (SELECT * FROM (WITH {_SURE}) x WHERE sure), edits AS (SELECT * FROM found_edits UNION ALL SELECT doc_id, s0 AS s, e0 AS e, word AS replacement, 'Spelling' AS category, 'spelling.delete_index' AS rule_id, 0.8::DOUBLE AS confidence FROM ranked_words), {R.accepted_sql()}"
+
+
+@query(f"{_BOTH} SELECT doc_id, s, e, replacement, category, rule_id, confidence FROM accepted")
+def spell_corrected(spark, sf):
+    """Accepted edits where spelling suggestions that are sure in their context compete with the detectors' candidates."""
+    docs = read(spark, sf, "documents")
+    words = QUERIES["spelling_in_context"](spark, sf).where("sure")
+    return T.rows_of(R.corrected(docs, more=R.suggestions(words)), ["doc_id"], F.col("edits"), "s")
+
+
+@query(f"{_BOTH} SELECT category, rule_id, count(*) AS edits, count(DISTINCT doc_id) AS docs FROM accepted GROUP BY category, rule_id")
+def spell_corrected_rules(spark, sf):
+    rows = QUERIES["spell_corrected"](spark, sf)
+    return rows.groupBy("category", "rule_id").agg(F.count(F.lit(1)).alias("edits"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"WITH RECURSIVE {_ACCEPTED} SELECT category, rule_id, count(*) AS edits FROM accepted GROUP BY category, rule_id")
+def stream_corrected(spark, sf):
+    """The corrector as a request loop: documents come in as a stream, and each micro-batch's accepted edits go out."""
+    rows = _streamed(spark, sf, lambda s: T.rows_of(R.corrected(s), ["doc_id"], F.col("edits"), "s"), "append", "documents")
+    return rows.groupBy("category", "rule_id").agg(F.count(F.lit(1)).alias("edits"))
+
+
+@query("WITH b AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY first_id) AS k FROM b), fold AS (SELECT user_id, d, k, CASE WHEN n <= 3 THEN n ELSE 0 END AS total, n <= 3 AS ok, n FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.d, r.k, CASE WHEN f.total + r.n <= 3 THEN f.total + r.n ELSE f.total END, f.total + r.n <= 3, r.n FROM fold f JOIN r ON r.user_id = f.user_id AND r.d = f.d AND r.k = f.k + 1) SELECT user_id, CAST(d AS VARCHAR) AS d, sum(CASE WHEN ok THEN n ELSE 0 END)::BIGINT AS accepted, sum(CASE WHEN ok THEN 0 ELSE n END)::BIGINT AS refused FROM fold GROUP BY user_id, d".replace("WITH b", "WITH RECURSIVE b", 1))
+def stream_caps(spark, sf):
+    """Three events a client and day, whole groups of a type or nothing; what a client has used is state that outlives micro-batches."""
+    rows = _streamed(spark, sf, lambda s: E.capped_stream(s, 3), "update")
+    return rows.groupBy("user_id", "d").agg(F.sum("accepted").alias("accepted"), F.sum("refused").alias("refused"))
+
+
+@query("SELECT user_id, date_trunc('minute', ts)::VARCHAR AS m, count(*) AS n, greatest(count(*) - 4, 0) AS refused FROM events GROUP BY 1, 2")
+def stream_rate_limits(spark, sf):
+    rows = _streamed(spark, sf, E.minutes, "complete")
+    return rows.select("user_id", F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("m"), "n", "refused")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +34,46 @@ def weekly(reports: DataFrame) -> DataFrame:
     return reports.withWatermark("ts", "1 hour").groupBy(F.window("ts", "7 days", startTime="4 days"), F.col("event_type").alias("rule")).agg(F.count(F.lit(1)).alias("reported"), F.approx_count_distinct("user_id").alias("users"))
 
 
+def capped_stream(reports: DataFrame, cap: int = CLIENT_CAP) -> DataFrame:
+    """user_id, d, event_type, accepted, refused: a client's reports of one type in a micro-batch are taken whole or not at all, up to ``cap`` a day.
+
+    What a client has used of a day is kept as state by (client, day), so a cap doesn't start anew with each micro-batch; a
+    day's state goes when the watermark has passed the day's end. A client has as many groups a day as there are types.
+    """
+    groups = reports.withWatermark("ts", "1 hour").withColumn("d", F.date_format("ts", "yyyy-MM-dd"))
+    shape = "user_id long, d string, event_type string, accepted long, refused long"
+
+    def take(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used, seen = state.get[0] if state.exists else 0, {}
+        for frame in frames:
+            for kind, own in frame.groupby("event_type", dropna=False):
+                n, first = seen.get(kind, (0, None))
+                least = int(own["event_id"].min())
+                seen[kind] = (n + len(own), least if first is None else min(first, least))
+        rows = []
+        for kind, (n, _) in sorted(seen.items(), key=lambda x: x[1][1]):
+            ok = used + n <= cap
+            used += n * ok
+            rows.append((key[0], key[1], kind, n * ok, n * (not ok)))
+        state.update((used,))
+        end = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 2 * 86_400_000  # a day more, for any zone
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["user_id", "d", "event_type", "accepted", "refused"])
+
+    return groups.select("user_id", "d", "event_type", "event_id", "ts").groupBy("user_id", "d").applyInPandasWithState(take, shape, "used long", "update", "EventTimeTimeout")
+
+
+def minutes(reports: DataFrame, most: int = 4) -> DataFrame:
+    """user_id, m, n, refused: requests a client and minute, and how many are beyond the limit."""
+    each = reports.groupBy("user_id", F.window("ts", "1 minute")).agg(F.count(F.lit(1)).alias("n"))
+    return each.select("user_id", F.col("window.start").alias("m"), "n", F.greatest(F.col("n") - most, F.lit(0).cast("long")).alias("refused"))
+
+
 def capped(batch: DataFrame, cap: int = CLIENT_CAP) -> DataFrame:
-    """A micro-batch's reports within each client's daily cap, by time."""
+    """A table's reports within each client's daily cap, by time."""
     by = W.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     return batch.withColumn("k", F.row_number().over(by)).where(F.col("k") <= cap).drop("k")
 
@@ -43,10 +83,22 @@ def merged(old: DataFrame, new: DataFrame, key: str = "event_id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def into(reports: DataFrame, target: str, checkpoint: str):
-    """Start a query that appends each micro-batch, capped, to a parquet folder; its checkpoint makes it exact after a restart."""
+def into(reports: DataFrame, target: str, checkpoint: str, cap: int = CLIENT_CAP):
+    """Start a query that appends each micro-batch to a parquet folder, within each client's daily cap over all batches.
+
+    What earlier batches took is counted from the folder itself, without the batch that is written, so a batch that runs again after a failure gives the same rows.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        capped(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        by = W.partitionBy("user_id", "d").orderBy("ts", "event_id")
+        rows = batch.withColumn("d", F.to_date("ts")).withColumn("k", F.row_number().over(by))
+        try:
+            before = batch.sparkSession.read.parquet(target).where(F.col("batch") != number)
+        except AnalysisException:  # the first batch finds no folder
+            before = None
+        if before is not None:
+            used = before.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("used"))
+            rows = rows.join(used, ["user_id", "d"], "left").withColumn("k", F.col("k") + F.coalesce("used", F.lit(0))).drop("used")
+        rows.where(F.col("k") <= cap).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
