@@ -164,11 +164,11 @@ def suspects(text: Column) -> Column:
     return T.let(T.analysed(text, frozenset(("end",))), found)
 
 
-def edit_arrays(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents (key, text) with a column ``edits``: the same candidates, computed without leaving the row."""
+def edit_arrays(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The documents (key, text, ``keep``) with a column ``edits``: the same candidates, computed without leaving the row."""
     parts = T.portable(", ".join(_inside(_candidates(d)) for d in DETECTORS), "spark")
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tokens", suspects(F.col("text")))
-    return rows.select(key, "text", F.expr(f"flatten(transform(tokens, x -> filter(array({parts}), e -> e IS NOT NULL)))").alias("edits"))
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep).withColumn("tokens", suspects(F.col("text")))
+    return rows.select(key, "text", *keep, F.expr(f"flatten(transform(tokens, x -> filter(array({parts}), e -> e IS NOT NULL)))").alias("edits"))
 
 
 def _inside(expression: str) -> str:

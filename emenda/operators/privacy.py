@@ -14,7 +14,7 @@ _DIGIT = "zero|one|two|three|four|five|six|seven|eight|nine|oh"
 PRIVATE = {
     "email": (("@",), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     "spelled email": ((" at ", "(at)", "[at]"), r"(?i)[a-z0-9._-]+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,}"),
-    "key": (("_", "-", "AKIA"), r"\b(?:(?:sk|pk|rk|ghp|gho|xox[abp])[_-](?:live_|test_)?[A-Za-z0-9]{8,}|AKIA[A-Z0-9]{12,})"),
+    "key": (("_", "AKIA"), r"(?:sk|pk|rk|ghp|gho|xox[abp])_(?:live_|test_)?[A-Za-z0-9]{8,}|AKIA[A-Z0-9]{12,}"),
     "link": (("://", "www."), r"(?:https?://|www\.)[^\x00-\x20<>\x22]+"),
     "handle": (("@",), r"@[A-Za-z0-9_]{2,}"),
     "hashtag": (("#",), r"#[A-Za-z_][A-Za-z0-9_]*"),

@@ -44,7 +44,7 @@ add("real_word_slips", "tokens", f"WITH {_WORDS}, {PAIRS}, lex AS (SELECT w, c F
 # names and languages ---------------------------------------------------------------------------------------------------------
 add("name_evidence", "tokens", "WITH n AS (SELECT doc_id, norm, CAST(sum(CASE WHEN rx(tok, '^\\p{Lu}\\p{Ll}') AND sent = psent THEN 1 ELSE 0 END) AS BIGINT) AS inside, CAST(sum(CASE WHEN rx(tok, '^\\p{Ll}') THEN 1 ELSE 0 END) AS BIGINT) AS plain FROM {tokens} WHERE isw GROUP BY doc_id, norm) SELECT doc_id, norm, CASE WHEN inside >= 2 AND plain = 0 THEN 3 WHEN plain = 0 THEN 2 ELSE 1 END AS level, inside, plain FROM n WHERE inside > 0")
 add("code_mixed", "tokens", "WITH f AS (SELECT doc_id, sent, count(*) AS words, CAST(sum(CASE WHEN norm IN ('the', 'and', 'of', 'to', 'is', 'by', 'with') THEN 1 ELSE 0 END) AS BIGINT) AS en, CAST(sum(CASE WHEN norm IN ('der', 'die', 'das', 'und', 'ist', 'nicht', 'mit') THEN 1 ELSE 0 END) AS BIGINT) AS de, CAST(sum(CASE WHEN norm IN ('le', 'la', 'les', 'et', 'des', 'une', 'du') THEN 1 ELSE 0 END) AS BIGINT) AS fr FROM {tokens} WHERE isw GROUP BY doc_id, sent) SELECT doc_id, count(*) AS sentences, CAST(sum(CASE WHEN (en > 0 AND de + fr > 0) OR (de > 0 AND fr > 0) THEN 1 ELSE 0 END) AS BIGINT) AS mixed, CAST(sum(CASE WHEN de + fr >= 2 OR (de + fr >= 1 AND 3 * (de + fr) >= words) THEN 1 ELSE 0 END) AS BIGINT) AS foreign_sentences FROM f GROUP BY doc_id")
-add("stretched_words", "tokens", "SELECT norm, count(*) AS n FROM {tokens} WHERE isw AND rx(norm, '(aaa|eee|iii|ooo|uuu|hhh|sss|nnn|ttt|rrr)') GROUP BY norm")
+add("stretched_words", "tokens", "SELECT norm, count(*) AS n FROM {tokens} WHERE isw AND rx(norm, '(" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyzäöüéèêçñóíáß") + ")') GROUP BY norm")
 # data sets -------------------------------------------------------------------------------------------------------------------
 add("same_text_other_label", "documents labels", "WITH n AS (SELECT d.doc_id AS doc_id, lower(regexp_replace(trim(d.text), '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS t, l.quality AS y FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id), g AS (SELECT md5(t) AS t, count(*) AS copies, count(DISTINCT y) AS labels, min(doc_id) AS keep_id FROM n GROUP BY md5(t)) SELECT t, copies, labels, keep_id, labels = 1 AS kept FROM g")
 add("decontaminated", "tokens bench", "WITH g AS (SELECT DISTINCT concat(prev3_n, ' ', prev2_n, ' ', prev_n, ' ', norm, ' ', next_n, ' ', next2_n) AS g FROM {bench} WHERE i >= 3 AND next2_n <> ''), h AS (SELECT t.doc_id AS doc_id, count(*) AS hits FROM {tokens} t JOIN g ON concat(t.prev3_n, ' ', t.prev2_n, ' ', t.prev_n, ' ', t.norm, ' ', t.next_n, ' ', t.next2_n) = g.g WHERE t.i >= 3 AND t.next2_n <> '' GROUP BY t.doc_id) SELECT doc_id, hits FROM h")

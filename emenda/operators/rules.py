@@ -11,22 +11,30 @@ from pyspark.sql import functions as F
 from emenda.functions import text as T
 from emenda.sources import readers
 
+_A, _Z = r"(?i)(^|[^\p{L}])", r"([^\p{L}]|$)"
+
+
+def _words(pattern: str) -> str:
+    """A pattern of whole words; what stands before and after them are its first and last groups."""
+    return f"{_A}{pattern}{_Z}"
+
+
 #: The library's own pack: id, pattern (common subset), replacement with $1 for groups, words one of which a match must hold (empty: any).
 PACK = (
-    ("pack.in_order_to", r"(?i)\bin order to\b", "to", "order"),
-    ("pack.due_to_fact", r"(?i)\bdue to the fact that\b", "because", "fact"),
-    ("pack.the_the", r"(?i)\b(the|of|and|de|und) (of the|and the|de la)\b", "$2", "the la"),
-    ("pack.of_of", r"(?i)\b(of|to) (of|to)\b", "$1", "of to"),
-    ("pack.more_better", r"(?i)\bmore (better|worse|easier)\b", "$1", "more"),
-    ("pack.could_of", r"(?i)\b(could|should|would) of\b", "$1 have", "of"),
+    ("pack.in_order_to", _words("in order to"), "$1to$2", "order"),
+    ("pack.due_to_fact", _words("due to the fact that"), "$1because$2", "fact"),
+    ("pack.the_the", _words("(?:the|of|and|de|und) (of the|and the|de la)"), "$1$2$3", "the la"),
+    ("pack.of_of", _words("(of|to) (?:of|to)"), "$1$2$3", "of to"),
+    ("pack.more_better", _words("more (better|worse|easier)"), "$1$2$3", "more"),
+    ("pack.could_of", _words("(could|should|would) of"), "$1$2 have$3", "of"),
     ("pack.and_end", r"(?i),? and\.", ".", "and"),
     ("pack.of_end", r"(?i) of\.", ".", "of"),
-    ("pack.very_unique", r"(?i)\bvery unique\b", "unique", "unique"),
-    ("pack.und_und", r"(?i)\b(und|et|y) (und|et|y)\b", "$1", "und et y"),
+    ("pack.very_unique", _words("very unique"), "$1unique$2", "unique"),
+    ("pack.und_und", _words("(und|et|y) (?:und|et|y)"), "$1$2$3", "und et y"),
     ("pack.double_comma", r",,+", ",", ""),
-    ("pack.license", r"(?i)\bpermission is hereby granted\b", "permission is granted", "permission"),
-    ("pack.to_the_be", r"(?i)\bto the (be|by|in)\b", "to $1", "the"),
-    ("pack.a_vowel", r"(?i)\ba (an|en|in|on)\b", "an $1", "an en in on"),
+    ("pack.license", _words("permission is hereby granted"), "$1permission is granted$2", "permission"),
+    ("pack.to_the_be", _words("to the (be|by|in)"), "$1to $2$3", "the"),
+    ("pack.a_vowel", _words("a (an|en|in|on)"), "$1an $2$3", "an en in on"),
 )
 
 
@@ -67,7 +75,10 @@ def sentences_sql() -> str:
     return "bounds AS (SELECT doc_id, sent, min(s0) AS a, max(e0) AS b FROM tokens GROUP BY doc_id, sent), sentences AS (SELECT b.doc_id, b.sent, substr(coalesce(d.text, ''), b.a + 1, b.b - b.a) AS body FROM bounds b JOIN documents d ON b.doc_id = d.doc_id)"
 
 
-def pack_sql() -> str:
-    """CTE pack (id, pattern, replacement) with DuckDB's way of naming groups."""
-    rows = ", ".join("(" + T.quoted([i, p, r.replace("$", "\\")]) + ")" for i, p, r, _ in PACK)
-    return f"pack AS (SELECT * FROM (VALUES {rows}) AS v(id, pattern, replacement))"
+def found_sql() -> str:
+    """CTE found (doc_id, sent, id, body, output): every pattern on every sentence, with DuckDB's way of naming groups."""
+    rows = []
+    for name, pattern, replacement, _ in PACK:
+        p, r = (T.quoted([x]) for x in (pattern, replacement.replace("$", "\\")))
+        rows.append(f"SELECT doc_id, sent, '{name}' AS id, body, regexp_replace(body, {p}, {r}, 'g') AS output FROM sentences WHERE regexp_matches(body, {p})")
+    return f"found AS ({' UNION ALL '.join(rows)})"

@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emenda.functions import text as T
 from emenda.operators import resolve, tone
+from emenda.sources import readers
 
 PASSES = 6
 MOST_BYTES = 65_536
@@ -67,11 +69,33 @@ def fixed_point(docs: DataFrame, key: str = "doc_id", text: str = "text", passes
     return out
 
 
+def requested(text: Column, dictionary: Column, names: Column, ranges: Column) -> Column:
+    """array of s, e, kind: what a request protects. Its ranges are UTF-16 offsets; dictionary words and names are whole words in any case."""
+    spans = "array<struct<s:bigint,e:bigint,kind:int>>"
+    own = F.transform(F.array_union(F.coalesce(dictionary, F.array().cast("array<string>")), F.coalesce(names, F.array().cast("array<string>"))), lambda w: F.lower(w))
+
+    def words(z):
+        hit = F.filter(F.arrays_zip(z["a"]["start"], z["a"]["end"], z["a"]["low"]).cast("array<struct<s:bigint,e:bigint,w:string>>"), lambda t: F.array_contains(z["own"], t["w"]))
+        return F.transform(hit, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.lit(50).alias("kind")))
+
+    taught = F.when(F.size(own) > 0, T.let(F.struct(T.analysed(text, frozenset(("end",))).alias("a"), own.alias("own")), words)).otherwise(F.array().cast(spans))
+    # a UTF-16 offset is a code-point offset but for the characters beyond the basic plane before it, which have two units
+    point = lambda u: F.length(F.decode(F.substr(F.encode(text, "UTF-16BE"), F.lit(1), (u * 2).cast("int")), "UTF-16BE")).cast("long")
+    given = F.transform(F.coalesce(ranges, F.array().cast("array<struct<start_utf16:int,end_utf16:int>>")), lambda r: F.struct(point(r["start_utf16"]).alias("s"), point(r["end_utf16"]).alias("e"), F.lit(51).alias("kind")))
+    return F.array_sort(F.concat(taught.cast(spans), given.cast(spans)))
+
+
 def rewritten(requests: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, mode, output, error: corrections, then the mode's wording where the meaning is kept."""
+    """key, mode, output, error: corrections, then the mode's wording where the meaning is kept.
+
+    ``dictionary``, ``names`` and ``protected_ranges``, where the requests have them, are left alone by corrections.
+    """
     checked = validated(requests)
     good = checked.where("error IS NULL")
-    fixed = resolve.corrected(good, key).select(key, "output").join(good.select(key, "mode"), key)
+    kinds = {"dictionary": "array<string>", "names": "array<string>", "protected_ranges": "array<struct<start_utf16:int,end_utf16:int>>"}
+    option = {n: F.col(n) if n in requests.columns else F.lit(None).cast(k) for n, k in kinds.items()}
+    rows = good.withColumn("own", requested(F.col("text"), option["dictionary"], option["names"], option["protected_ranges"]))
+    fixed = resolve.corrected(rows, key, own="own", keep=("mode",))
     toned = fixed.withColumn("toned", tone.worded(F.col("output"), F.coalesce("mode", F.lit("fix"))))
     kept = F.when(tone.keeps_meaning(F.col("output"), F.col("toned")), F.col("toned")).otherwise(F.col("output"))
     bad = checked.where("error IS NOT NULL").select(key, "mode", F.lit(None).cast("string").alias("output"), "error")
@@ -79,7 +103,7 @@ def rewritten(requests: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def process_json(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Requests as JSON in ``value``, results as JSON: {"id", "output"} or {"id", "error"}."""
-    parsed = lines.select(F.from_json("value", "id bigint, text string, mode string").alias("r"))
-    requests = parsed.select(F.coalesce("r.id", F.lit(-1)).alias("doc_id"), "r.text", F.coalesce("r.mode", F.lit("fix")).alias("mode"))
+    """Requests (``readers.REQUEST``) as JSON in ``value``, results as JSON: {"id", "mode", "output"} or {"id", "mode", "error"}. Lines that aren't JSON have no text. ``lines`` may be a stream."""
+    parsed = lines.select(F.from_json("value", readers.REQUEST).alias("r"))
+    requests = parsed.select(F.coalesce("r.doc_id", F.lit(-1)).alias("doc_id"), "r.text", F.coalesce("r.mode", F.lit("fix")).alias("mode"), "r.dictionary", "r.names", "r.protected_ranges")
     return rewritten(requests).select(F.to_json(F.struct(F.col("doc_id").alias("id"), "mode", "output", "error")).alias("value"))

@@ -155,22 +155,26 @@ def fixed_points(spark, sf):
     return P.fixed_point(read(spark, sf, "documents")).select("doc_id", "passes", "edits", "settled", F.md5(F.col("output").cast("binary")).alias("output"))
 
 
-@query()
+_TURNS = "(SELECT conv_id, turn, coalesce(text, '') AS text, [" + ", ".join(f"'{m}'" for m in P.MODES) + f"][(turn % {len(P.MODES)} + 1)::INT] AS mode FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, mode, worded <> text AS changed, {O.lost_sql()} AS lost, md5(worded) AS worded FROM {O.worded_sql(_TURNS)} x")
 def tone_rewrites(spark, sf):
-    """Each turn in a mode's words, or why the meaning would have changed."""
-    turns = read(spark, sf, "conversations")
+    """Each turn in a mode's words, and why the meaning would have changed."""
+    turns = read(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     mode = F.element_at(F.array(*[F.lit(m) for m in P.MODES]), (F.col("turn") % len(P.MODES) + 1).cast("int"))
-    rows = turns.withColumn("mode", mode).withColumn("worded", O.worded(F.coalesce("text", F.lit("")), F.col("mode")))
-    return rows.select("conv_id", "turn", "mode", (F.col("worded") != F.col("text")).alias("changed"), O.meaning_lost(F.col("text"), F.col("worded"), F.col("mode")).alias("lost"))
+    rows = turns.withColumn("mode", mode).withColumn("worded", O.worded(F.col("text"), F.col("mode")))
+    return rows.select("conv_id", "turn", "mode", (F.col("worded") != F.col("text")).alias("changed"), O.meaning_lost(F.col("text"), F.col("worded"), F.col("mode")).alias("lost"), F.md5(F.col("worded").cast("binary")).alias("worded"))
 
 
-def _streamed(spark, sf, shape, mode: str, table: str = "events") -> DataFrame:
-    """All of a stream's rows so far, from a run to the end of what is there, by way of a table in the shared folder."""
+def _streamed(spark, sf, shape, mode: str, table: str = "events", again: str = "false") -> DataFrame:
+    """All of a stream's rows so far, from a run to the end of what is there, by way of a table in the shared folder. Rows for which ``again`` holds come twice."""
     import uuid
 
     schema = read(spark, sf, table).schema
     # the stream's folder must hold nothing else, and a single file is not one
-    source = P.shared_table(spark.read.parquet(f"{sf}/{table}.parquet"), "source")
+    rows = spark.read.parquet(f"{sf}/{table}.parquet")
+    source = P.shared_table(rows.unionByName(rows.where(again)), "source")
     rows = spark.readStream.schema(schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
     if "ts" in schema.names:
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -189,7 +193,7 @@ def _streamed(spark, sf, shape, mode: str, table: str = "events") -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark, sf):
-    return _streamed(spark, sf, lambda s: E.once(s).select("event_id", "user_id", "event_type"), "append")
+    return _streamed(spark, sf, lambda s: E.once(s).select("event_id", "user_id", "event_type"), "append", again="event_id % 7 = 3")
 
 
 @query("SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS STRING) AS monday, event_type AS rule, count(*) AS reported FROM events GROUP BY 1, 2")
@@ -200,7 +204,7 @@ def stream_weeks(spark, sf):
 from emenda.operators import privacy as V  # noqa: E402
 from emenda.operators import rules as K  # noqa: E402
 
-_PACK = f"WITH {TOKENS}, {K.sentences_sql()}, {K.pack_sql()}, found AS (SELECT doc_id, sent, id, body, regexp_replace(body, pattern, replacement, 'g') AS output FROM sentences, pack WHERE regexp_matches(body, pattern))"
+_PACK = f"WITH {TOKENS}, {K.sentences_sql()}, {K.found_sql()}"
 
 
 @query(f"{_PACK} SELECT doc_id, sent, id, md5(output) AS output FROM found")
@@ -291,3 +295,49 @@ def stream_caps(spark, sf):
 def stream_rate_limits(spark, sf):
     rows = _streamed(spark, sf, E.minutes, "complete")
     return rows.select("user_id", F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("m"), "n", "refused")
+
+
+from emenda.functions import distance as N  # noqa: E402
+from emenda.functions import register as G  # noqa: E402
+from emenda.operators import language as L  # noqa: E402
+
+_PAIRS_OF_TWO = S.for_duckdb(L._TWO)
+
+
+@query(f"WITH {TOKENS}, {_PAIRS_OF_TWO}, q AS (SELECT slip, word, damerau_levenshtein(slip, word) AS edits FROM two) SELECT edits, count(*) AS pairs, count(DISTINCT slip) AS slips, min(slip) AS first_slip FROM q GROUP BY edits")
+def damerau_distances(spark, sf):
+    """Damerau's distance of all pairs that two deletions on either side bring together."""
+    pairs = S.run(spark, f"WITH {L._TWO} SELECT slip, word FROM two", tokens=_frame(spark, sf, "tokens", L._TWO))
+    rows = pairs.select("slip", N.distance(F.col("slip"), F.col("word")).alias("edits"))
+    return rows.groupBy("edits").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("slip").alias("slips"), F.min("slip").alias("first_slip"))
+
+
+@query(SQL["corrected_text"].replace("coalesce(n, 0)::BIGINT AS edits, ", ""))
+def token_differences(spark, sf):
+    """Corrected texts made again from the token differences between text and correction; the SQL applies the accepted edits."""
+    rows = N.differences(R.corrected(read(spark, sf, "documents")))
+    return rows.select("doc_id", F.md5(R.applied(F.col("text"), F.col("edits")).cast("binary")).alias("output"))
+
+
+PIECES = 4096
+
+
+@query()
+def word_pieces(spark, sf):
+    """How many pieces each word has under a vocabulary of the PIECES most frequent words, their ends of up to four letters, and all letters."""
+    words = S.run(spark, f"WITH {L._WORDS} SELECT w, c FROM words WHERE rx(w, '^[a-z]+\\z')", tokens=_frame(spark, sf, "tokens", L._WORDS))
+    top = [r["w"] for r in words.orderBy(F.desc("c"), "w").limit(PIECES).collect()]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = frozenset([*top, *letters, *("##" + c for c in letters), *("##" + w[-k:] for w in top for k in range(2, 5))])
+    return N.word_pieces(words, vocabulary).select("w", "c", F.size("pieces").cast("long").alias("n"), F.array_join("pieces", " ").alias("pieces"))
+
+
+@query(
+    "SELECT p_partkey, " + ", ".join(f"{G.body(f'emenda_{n}', 'lower(p_type)')} AS {n}" for n in ("plural", "singular", "past", "gerund", "sound"))
+    + f", {G.body('emenda_private', 'p_brand')} AS private FROM part"
+)
+def sql_functions(spark, sf):
+    """The functions that SQL users get, called from SQL."""
+    G.register(spark)
+    calls = ", ".join(f"emenda_{n}(lower(p_type)) AS {n}" for n in ("plural", "singular", "past", "gerund", "sound"))
+    return S.run(spark, f"SELECT p_partkey, {calls}, emenda_private(p_brand) AS private FROM {{part}}", part=read(spark, sf, "part"))
