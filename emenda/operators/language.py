@@ -145,3 +145,11 @@ add("retention_bands", "events", "WITH x AS (SELECT event_type, date_diff_days(C
 add("learned_names", "tokens documents", "WITH s AS (SELECT t.norm AS norm, d.source AS app, t.doc_id AS doc_id FROM {tokens} t JOIN {documents} d ON t.doc_id = d.doc_id WHERE rx(t.tok, '^\\p{Lu}\\p{Ll}{2,}\\z') AND t.sent = t.psent), low AS (SELECT DISTINCT norm FROM {tokens} WHERE rx(tok, '^\\p{Ll}')) SELECT s.norm AS name, count(*) AS sightings, count(DISTINCT app) AS apps FROM s LEFT JOIN low ON s.norm = low.norm WHERE low.norm IS NULL GROUP BY s.norm HAVING count(*) >= 3 AND count(DISTINCT doc_id) >= 2")
 add("best_reference", "labels documents", "WITH p AS (SELECT d.lang AS lang, d.doc_id AS doc_id, l.quality AS y, l.toxic AS x, CASE WHEN rx(d.text, '(!!|\\||[$%&*#]{3})') THEN 0 ELSE 1 END AS guess FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id), refs AS (SELECT lang, doc_id, 'quality' AS ref, guess, y FROM p UNION ALL SELECT lang, doc_id, 'toxic' AS ref, guess, 1 - x AS y FROM p), f AS (SELECT lang, doc_id, ref, CAST(CASE WHEN guess = y THEN 1 ELSE 0 END AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN guess = y THEN 1 ELSE 0 END DESC, ref) AS k FROM refs) SELECT lang, ref, count(*) AS chosen, round(avg(score), 9) AS agreement FROM f WHERE k = 1 GROUP BY lang, ref")
 add("threshold_at_rate", "labels documents", "WITH p AS (SELECT d.doc_id AS doc_id, l.quality AS y, CAST(length(regexp_replace(d.text, '[^\\p{L}]', '', 'g')) AS DOUBLE) / greatest(length(d.text), 1) AS score FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL), s AS (SELECT DISTINCT round(score, 6) AS t FROM p), g AS (SELECT round(score, 6) AS t, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg, CAST(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos FROM p GROUP BY round(score, 6)), c AS (SELECT t, sum(neg) OVER (ORDER BY t DESC) AS fp, sum(pos) OVER (ORDER BY t DESC) AS tp, sum(neg) OVER () AS negs, sum(pos) OVER () AS poss FROM g) SELECT min(t) AS threshold, CAST(max(fp) AS BIGINT) AS fp, CAST(max(tp) AS BIGINT) AS tp, round(CAST(max(tp) AS DOUBLE) / CAST(max(poss) AS DOUBLE), 9) AS recall FROM c WHERE fp <= 0.05 * negs")
+# guards, generators of rules, late reports ----------------------------------------------------------------------------------
+add("deferred_edits", "edits", "WITH o AS (SELECT doc_id, s, e, rule_id, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e, rule_id, replacement) AS before_e, lag(rule_id) OVER (PARTITION BY doc_id ORDER BY s, e, rule_id, replacement) AS before_rule FROM {edits}) SELECT rule_id, count(*) AS edits, CAST(sum(CASE WHEN before_rule IN ('spelling.contraction', 'spelling.split_compound', 'spelling.split_word', 'spelling.join_compound') AND s - before_e BETWEEN 0 AND 1 THEN 1 ELSE 0 END) AS BIGINT) AS deferred FROM o GROUP BY rule_id")
+add("suggestion_guard", "tokens", f"WITH {_FIT}, one AS (SELECT * FROM best WHERE k = 1), lev AS (SELECT doc_id, norm, max(CASE WHEN rx(tok, '^\\p{{Lu}}') THEN 1 ELSE 0 END) AS high FROM {{tokens}} WHERE isw GROUP BY doc_id, norm), r AS (SELECT o.slip AS slip, o.word AS word, CASE WHEN l.high = 1 THEN 'a name here' WHEN o.second IS NOT NULL AND o.score - o.second < {MARGIN} THEN 'close second' WHEN length(o.slip) < 5 THEN 'short' WHEN replace(o.slip, o.word, '') = 's' OR replace(o.word, o.slip, '') = 's' THEN 'only number' WHEN o.word IN ('not', 'never', 'none', 'nicht', 'nothing') THEN 'negation' WHEN o.score < 1.5 THEN 'little evidence' ELSE 'kept' END AS reason FROM one o JOIN lev l ON o.doc_id = l.doc_id AND o.slip = l.norm) SELECT reason, count(*) AS suggestions, count(DISTINCT slip) AS slips, min(slip) AS example FROM r GROUP BY reason")
+add("opener_names", "tokens", "SELECT CASE WHEN prev_n IN ('hi', 'hello', 'dear', 'hey') THEN 'greeting' WHEN prev_n IN ('thanks', 'please', 'sorry') THEN 'courtesy' WHEN prev_n IN ('best', 'regards', 'sincerely', 'cheers') THEN 'closing' WHEN sent <> psent THEN 'sentence' ELSE 'inside' END AS frame, count(*) AS names, count(DISTINCT norm) AS forms, CAST(sum(CASE WHEN next = ',' THEN 1 ELSE 0 END) AS BIGINT) AS before_comma FROM {tokens} WHERE rx(tok, '^\\p{Lu}\\p{Ll}{2,}\\z') GROUP BY 1")
+add("sentence_polarity", "tokens", "WITH w AS (SELECT doc_id, sent, CASE WHEN norm IN ('good', 'great', 'nice', 'best', 'thanks', 'gut', 'bien', 'he', 'the') THEN 1 WHEN norm IN ('bad', 'worst', 'hate', 'wrong', 'fail', 'of', 'der') THEN -1 ELSE 0 END AS v, CASE WHEN prev_n IN ('not', 'no', 'never', 'nicht', 'pas', 'and') OR prev2_n IN ('not', 'never') THEN -1 ELSE 1 END AS turn, CASE WHEN norm IN ('about', 'around', 'roughly', 'nearly') THEN 1 ELSE 0 END AS rough FROM {tokens} WHERE isw), s AS (SELECT doc_id, sent, sum(v * turn) AS polarity, sum(CASE WHEN v <> 0 AND turn < 0 THEN 1 ELSE 0 END) AS turned, sum(rough) AS rough FROM w GROUP BY doc_id, sent) SELECT doc_id, CAST(sum(CASE WHEN polarity > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive, CAST(sum(CASE WHEN polarity < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, CAST(sum(turned) AS BIGINT) AS turned, CAST(sum(rough) AS BIGINT) AS rough FROM s GROUP BY doc_id")
+_FRAMES = (("could", "{w} of", "{w} have", "I {w} of known"), ("say", "i {w}", "I {w}", "what i {w} now"), ("more", "more {w}er", "{w}er", "a more {w}er one"))
+add("generated_rules", "part", f"WITH frame AS {values([(n, a.replace('{w}', '%w%'), b.replace('{w}', '%w%'), c.replace('{w}', '%w%')) for n, a, b, c in _FRAMES], 'family', 'wrong', 'put', 'example')}, word AS (SELECT DISTINCT regexp_extract(p_name, '^[a-z]+', 0) AS w FROM {{part}}), r AS (SELECT concat(family, '.', w) AS id, concat('(^|[^a-z])', replace(wrong, '%w%', w), '([^a-z]|$)') AS pattern, replace(put, '%w%', w) AS replacement, replace(example, '%w%', w) AS positive, replace(put, '%w%', w) AS negative FROM frame CROSS JOIN word) SELECT id, pattern, replacement, rx(positive, pattern) AS finds, NOT rx(negative, pattern) AS spares FROM r")
+add("late_reports", "events", "WITH a AS (SELECT user_id, event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS clock FROM {events}) SELECT CAST(CAST(clock AS DATE) AS VARCHAR(20)) AS arrival_day, count(*) AS n, CAST(sum(CASE WHEN ts < clock - INTERVAL 1 HOUR THEN 1 ELSE 0 END) AS BIGINT) AS late, CAST(sum(CASE WHEN CAST(ts AS DATE) < CAST(clock AS DATE) THEN 1 ELSE 0 END) AS BIGINT) AS day_before FROM a GROUP BY 1")

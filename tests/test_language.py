@@ -26,7 +26,7 @@ def plain(rows, columns):
 def duck():
     db = duckdb.connect()
     db.execute("SET TimeZone='UTC'")
-    for t in ("nation", "customer", "events", "documents", "embeddings", "benchmark", "labels", "conversations"):
+    for t in ("nation", "customer", "events", "documents", "embeddings", "benchmark", "labels", "conversations", "part"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return db
 
