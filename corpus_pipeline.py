@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: language ID, exact dedup, near dedup, mixing, packing."""
+"""From raw documents to packed training sequences: language ID, exact dedup, near dedup, mixing, packing.
+
+Null and empty texts, and those without a letter, go in the first stage. Nulls in other columns are values like any others. Of repeated rows one
+stays after exact dedup; rows with one key and different texts are separate documents throughout. Texts of any length go
+through whole. Columns beyond those of documents, whatever their names, stay until packing, which gives pieces. No documents give no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from emenda.llm.common import materialise, read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be found go."""
+    """Documents without a letter go; a null ``lang`` is filled with the one found (it stays null where no label could be learnt)."""
     return langid.keep_identified(docs)
 
 
@@ -40,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each reads what its predecessor wrote."""
+    """All stages over the documents; each reads what its predecessor wrote. No documents give no rows."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
