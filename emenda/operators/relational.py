@@ -49,7 +49,8 @@ add("stretched_words", "tokens", "SELECT norm, count(*) AS n FROM {tokens} WHERE
 add("same_text_other_label", "documents labels", "WITH n AS (SELECT d.doc_id AS doc_id, lower(regexp_replace(trim(d.text), '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS t, l.quality AS y FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id), g AS (SELECT md5(t) AS t, count(*) AS copies, count(DISTINCT y) AS labels, min(doc_id) AS keep_id FROM n GROUP BY md5(t)) SELECT t, copies, labels, keep_id, labels = 1 AS kept FROM g")
 add("decontaminated", "tokens bench", "WITH g AS (SELECT DISTINCT concat(prev3_n, ' ', prev2_n, ' ', prev_n, ' ', norm, ' ', next_n, ' ', next2_n) AS g FROM {bench} WHERE i >= 3 AND next2_n <> ''), h AS (SELECT t.doc_id AS doc_id, count(*) AS hits FROM {tokens} t JOIN g ON concat(t.prev3_n, ' ', t.prev2_n, ' ', t.prev_n, ' ', t.norm, ' ', t.next_n, ' ', t.next2_n) = g.g WHERE t.i >= 3 AND t.next2_n <> '' GROUP BY t.doc_id) SELECT doc_id, hits FROM h")
 add("hash_split", "documents", "SELECT doc_id, substr(hex256(text), 64, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS odd_half, substr(hex256(text), 1, 2) < '4d' AS sealed FROM {documents}")
-add("every_nth", "documents", "SELECT doc_id, k FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(text), doc_id) AS k FROM {documents}) x WHERE k % 10 = 0")
+# ranks within parts of a language, after the rows of the parts before: no task gets a whole language
+add("every_nth", "documents", "WITH d AS (SELECT doc_id, lang, md5(coalesce(text, '')) AS h FROM {documents}), c AS (SELECT lang, substr(h, 1, 2) AS p, count(*) AS n FROM d GROUP BY lang, substr(h, 1, 2)), a AS (SELECT lang, p, sum(n) OVER (PARTITION BY lang ORDER BY p ROWS UNBOUNDED PRECEDING) - n AS ahead FROM c), r AS (SELECT d.doc_id AS doc_id, a.ahead + row_number() OVER (PARTITION BY d.lang, substr(d.h, 1, 2) ORDER BY d.h, d.doc_id) AS k FROM d JOIN a ON coalesce(d.lang, '') = coalesce(a.lang, '') AND substr(d.h, 1, 2) = a.p) SELECT doc_id, CAST(k AS BIGINT) AS k FROM r WHERE k % 10 = 0")
 # privacy ---------------------------------------------------------------------------------------------------------------------
 add("looks_private", "documents", f"SELECT doc_id, {PRIVATE} AS private FROM {{documents}}")
 add("redacted_text", "documents", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[email]', 'g'), '(https?://|www\\.)[^\\x09-\\x0D\\x20<>]+', '[link]', 'g'), '\\+?\\(?[0-9][0-9 ().-]{5,}[0-9]', '[phone]', 'g'), '[0-9]+([.,:/-][0-9]+)*', '[number]', 'g')) AS redacted FROM {documents}")
