@@ -56,7 +56,7 @@ def candidates(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFr
     broadcast as long as Spark holds them for small; a larger pack shuffles words and literals.
     """
     sentences = T.sentence_rows(docs, key)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"\p{L}+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.translate("body", *T.SMALL)), F.lit(r"\p{L}+"), F.lit(0)))
     literal = rules.select("id", "pattern", "replacement", F.explode("literals").alias("x_word"))
     held = sentences.select(key, "sent", "s0", "body", F.explode_outer(words).alias("x_word")).join(literal, "x_word").drop("x_word")
     free = rules.where(F.size("literals") == 0).select("id", "pattern", "replacement")
