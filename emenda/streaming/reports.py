@@ -34,36 +34,48 @@ def weekly(reports: DataFrame) -> DataFrame:
     return reports.withWatermark("ts", "1 hour").groupBy(F.window("ts", "7 days", startTime="4 days"), F.col("event_type").alias("rule")).agg(F.count(F.lit(1)).alias("reported"), F.approx_count_distinct("user_id").alias("users"))
 
 
+#: Clients are dealt over so many groups of state; one group for each client and day would cost more than its rows.
+BUCKETS = 1024
+
+
 def capped_stream(reports: DataFrame, cap: int = CLIENT_CAP) -> DataFrame:
     """user_id, d, event_type, accepted, refused: a client's reports of one type in a micro-batch are taken whole or not at all, up to ``cap`` a day.
 
-    What a client has used of a day is kept as state by (client, day), so a cap doesn't start anew with each micro-batch; a
-    day's state goes when the watermark has passed the day's end. A client has as many groups a day as there are types.
+    What a client has used of a day is kept as state, so a cap doesn't start anew with each micro-batch; a day's state goes when the
+    watermark has passed the day's end. A client has as many groups a day as there are types. State lies in BUCKETS groups of clients.
     """
-    groups = reports.withWatermark("ts", "1 hour").withColumn("d", F.date_format("ts", "yyyy-MM-dd"))
-    shape = "user_id long, d string, event_type string, accepted long, refused long"
+    groups = reports.withWatermark("ts", "1 hour").withColumn("d", F.date_format("ts", "yyyy-MM-dd")).withColumn("bucket", F.pmod(F.hash("user_id"), F.lit(BUCKETS)))
+    shape, keys = "user_id long, d string, event_type string, accepted long, refused long", ["user_id", "d", "event_type"]
+
+    def over(d) -> int:  # a day more, for any zone
+        return int(pd.Timestamp(d, tz="UTC").timestamp() * 1000) + 2 * 86_400_000
 
     def take(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used, seen = state.get[0] if state.exists else 0, {}
-        for frame in frames:
-            for kind, own in frame.groupby("event_type", dropna=False):
-                n, first = seen.get(kind, (0, None))
-                least = int(own["event_id"].min())
-                seen[kind] = (n + len(own), least if first is None else min(first, least))
+        used = {(u, d): n for u, d, n in zip(*state.get, strict=True)} if state.exists else {}
+        seen = {}
+        for frame in frames if not state.hasTimedOut else ():
+            frame["user_id"] = frame["user_id"].astype("Int64")
+            own = frame.groupby(keys, dropna=False, sort=False)["event_id"].agg(["size", "min"]).reset_index()
+            for u, d, kind, n, least in zip(*(own[c].astype(object).where(own[c].notna(), None) for c in keys), own["size"].tolist(), own["min"].tolist(), strict=True):
+                k, first = seen.get((u, d, kind), (0, least))
+                seen[u, d, kind] = (k + n, min(first, least))
         rows = []
-        for kind, (n, _) in sorted(seen.items(), key=lambda x: x[1][1]):
-            ok = used + n <= cap
-            used += n * ok
-            rows.append((key[0], key[1], kind, n * ok, n * (not ok)))
-        state.update((used,))
-        end = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 2 * 86_400_000  # a day more, for any zone
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["user_id", "d", "event_type", "accepted", "refused"])
-
-    return groups.select("user_id", "d", "event_type", "event_id", "ts").groupBy("user_id", "d").applyInPandasWithState(take, shape, "used long", "update", "EventTimeTimeout")
+        for (u, d, kind), (n, _) in sorted(seen.items(), key=lambda x: x[1][1]):
+            before = used.get((u, d), 0)
+            ok = before + n <= cap
+            used[u, d] = before + n * ok
+            rows.append((u, d, kind, n * ok, n * (not ok)))
+        ends = {d: over(d) for _, d in used}
+        used = {k: n for k, n in used.items() if ends[k[1]] > state.getCurrentWatermarkMs()}
+        if used:
+            state.update(([u for u, _ in used], [d for _, d in used], list(used.values())))
+            state.setTimeoutTimestamp(min(ends[d] for _, d in used))
+        elif state.exists:
+            state.remove()
+        out = pd.DataFrame(rows, columns=[*keys, "accepted", "refused"])
+        yield out.astype({"user_id": "Int64"})
+
+    return groups.select("bucket", *keys, "event_id", "ts").groupBy("bucket").applyInPandasWithState(take, shape, "users array<long>, days array<string>, used array<long>", "update", "EventTimeTimeout")
 
 
 def minutes(reports: DataFrame, most: int = 4) -> DataFrame:
