@@ -49,19 +49,32 @@ def with_literals(rules: DataFrame) -> DataFrame:
     return rules.join(rules.sparkSession.createDataFrame(found, "id string, literals array<string>"), "id")
 
 
+#: Up to so many literals in a pack, a sentence's literals are found inside its row, and the rules are broadcast.
+MOST_LITERALS = 4096
+
+
 def candidates(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, sent, s0, body, id, pattern, replacement for each sentence and rule that may match there.
 
-    A sentence's words are an array beside it, so the sentence meets each rule once, by an equal word. Rules are joined by
-    broadcast as long as Spark holds them for small; a larger pack shuffles words and literals.
+    A sentence meets each rule once, by the first of the rule's literals that it holds: nothing is shuffled and a body is copied
+    for the literals that it holds only. Spark doesn't know the size of a pack made of rows, so the broadcast is asked for. With
+    more than MOST_LITERALS literals sentences and rules are shuffled by their words, and what met twice is dropped by another shuffle.
     """
     sentences = T.sentence_rows(docs, key)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.translate("body", *T.SMALL)), F.lit(r"\p{L}+"), F.lit(0)))
-    literal = rules.select("id", "pattern", "replacement", F.explode("literals").alias("x_word"))
-    held = sentences.select(key, "sent", "s0", "body", F.explode_outer(words).alias("x_word")).join(literal, "x_word").drop("x_word")
-    free = rules.where(F.size("literals") == 0).select("id", "pattern", "replacement")
+    literal = rules.select("id", "pattern", "replacement", "literals", F.posexplode("literals").alias("x_place", "x_word"))
+    known = [r[0] for r in literal.where("x_word IS NOT NULL").select("x_word").limit(MOST_LITERALS + 1).collect()]
+    wanted = ["id", "pattern", "replacement"]
+    if len(known) <= MOST_LITERALS:
+        held = F.array_intersect(words, F.array(*map(F.lit, sorted(set(known)))).cast("array<string>"))
+        # an outer generator, as before an inner one Spark computes the array again
+        met = sentences.select(key, "sent", "s0", "body", held.alias("x_held")).select("*", F.explode_outer("x_held").alias("x_word")).join(F.broadcast(literal), "x_word")
+        met = met.where(~F.coalesce(F.arrays_overlap(F.slice("literals", F.lit(1), F.col("x_place")), "x_held"), F.lit(False)))
+    else:
+        met = sentences.select(key, "sent", "s0", "body", F.explode_outer(words).alias("x_word")).join(literal, "x_word").dropDuplicates([key, "sent", "s0", "id"])
+    free = rules.where(F.size("literals") == 0).select(*wanted)
     # rules without a literal look at all sentences; the linter keeps them few
-    return held.dropDuplicates([key, "sent", "s0", "id"]).unionByName(sentences.select(key, "sent", "s0", "body").join(F.broadcast(free)))
+    return met.select(key, "sent", "s0", "body", *wanted).unionByName(sentences.select(key, "sent", "s0", "body").join(F.broadcast(free)))
 
 
 def matches(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
