@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, forget=True)  # the workers live on, beside the other stages' data
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("mix_sources", mix), ("best_fit_packing", packing_stage)]

@@ -9,6 +9,7 @@ finds its place by its length and its rank among pieces of that length.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import re
@@ -133,13 +134,26 @@ def _with_room(x: np.ndarray, size: int) -> np.ndarray:
 _LOADED: dict[str, WordIds] = {}
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece: a document's ids and then id 1, cut only where longer than ``limit``."""
+@contextlib.contextmanager
+def word_ids(path: str, forget: bool):
+    """This process's ``WordIds``. With ``forget`` they go at the end: a worker that lives on between other stages then holds nothing of them."""
+    try:
+        yield WordIds.of(path)
+    finally:
+        if forget:
+            _LOADED.pop(path, None)
+
+
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, path: str | None = None, forget: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece: a document's ids and then id 1, cut only where longer than ``limit``. With ``forget`` each task learns its words anew."""
     path = path or public_tokenizers.path(VOCABULARY)
     last = np.array([END], "<u4").tobytes()
 
     def cut(batches):
-        encode = WordIds.of(path)
+        with word_ids(path, forget) as encode:
+            yield from cut_by(encode, batches)
+
+    def cut_by(encode, batches):
         for batch in table_batches(batches, 2 << 20):
             ids, offsets = encode.column(batch.column(1))
             size = np.diff(offsets) + 1
@@ -298,13 +312,13 @@ def runs(patterns: list[tuple[tuple[int, ...], int]], limit: int) -> dict[int, n
     return {v: np.array(rows, np.int64) for v, rows in found.items()}
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, path: str | None = None, forget: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``forget``: see ``pieces``.
 
     A null text is empty: one piece with the end id alone. Null and repeated keys are kept; rows with the same key are
     separate documents. Pieces of one length are ranked by key, piece, start and ids, so reruns agree. No rows give no rows.
     """
-    cut = materialise(pieces(docs, key, text, limit, path).withColumn("x_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")), "pieces")
+    cut = materialise(pieces(docs, key, text, limit, path, forget).withColumn("x_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")), "pieces")
     by_part = materialise(cut.groupBy("length", "x_part").agg(F.count(F.lit(1)).alias("x_n")), "lengths")
     counts = np.zeros(limit + 1, np.int64)
     for row in by_part.groupBy("length").agg(F.sum("x_n").alias("n")).collect():  # at most ``limit`` rows

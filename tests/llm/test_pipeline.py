@@ -57,3 +57,18 @@ def test_every_operator_has_a_query():
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_workers_keep_no_words_between_stages(monkeypatch):
+    """The pipeline's workers live on: what packing has learnt goes at the end of each task."""
+    import corpus_pipeline
+    from emenda.llm import packing
+
+    monkeypatch.setattr(packing, "pack", lambda docs, **options: options)
+    assert corpus_pipeline.packing_stage(None, None, "") == {"forget": True}
+    path = packing.public_tokenizers.path(packing.VOCABULARY)
+    with packing.word_ids(path, True) as own:
+        assert own(["of the"]) and path in packing._LOADED
+    assert path not in packing._LOADED
+    with packing.word_ids(path, False) as own:
+        assert own is packing.WordIds.of(path)
